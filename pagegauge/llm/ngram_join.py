@@ -11,7 +11,8 @@ Documents with equal sets are one node. Work on a list is never all its pairs:
 members meet one pivot each, linked nodes become components, and only members
 still in different components meet each other, in blocks, before the lists are
 exhausted; so a group of near copies costs about its size, and no link between
-components is lost. Candidates are verified on whole texts.
+components is lost. Marks, parities of hashed shingles, rule most of those out
+without their texts. Candidates are verified on whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BUFFER, COUNTED, BITS = 200_000, 2_000_000, 1 << 23
 HEAVY = 65_536
 #: A list of more members than this is cut into blocks when its members meet each other.
 BLOCK = 2_048
+#: Bits of a set's mark.
+MARK = 2_048
 _U = np.uint64
 
 
@@ -76,15 +79,20 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def mark_of(shingles: np.ndarray) -> bytes:
+    """Parities of the set's shingles over MARK slots: sets differ in at least as many shingles as their marks in bits."""
+    return np.packbits(np.bincount((shingles >> _U(7) & _U(MARK - 1)).astype(np.int64), minlength=MARK) & 1).tobytes()
+
+
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
-PROFILE = "kind int, a long, b long, c long"
+PROFILE = "kind int, a long, b long, c long, mark binary"
 
 
 def _profile(size: int):
-    """Rows (0, row's id, set size, node) of documents and (1, shingle, count, null) of shingles often counted together."""
+    """Rows (0, row's id, set size, node, mark) of documents and (1, shingle, count, null, null) of shingles often counted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, rows, seen = Shingler(size), [], 0, set()
@@ -93,19 +101,20 @@ def _profile(size: int):
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             pick = counts >= 3
             v, c = values[pick].view(np.int64), counts[pick].astype(np.int64)
-            return _batch(kind=np.ones(len(v), np.int32), a=v, b=c, c=pa.nulls(len(v), pa.int64()))
+            return _batch(kind=np.ones(len(v), np.int32), a=v, b=c, c=pa.nulls(len(v), pa.int64()), mark=pa.nulls(len(v), pa.binary()))
 
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, marks = [], [], []
             for s in shingler.sets(batch.column(1)):
                 node = node_of(s) if len(s) else None
                 nodes.append(node)
                 sizes.append(len(s))
+                marks.append(mark_of(s) if len(s) > 1 else None)
                 if node is not None and node not in seen:
                     seen.add(node)
                     held.append(s)
                     rows += len(s)
-            yield _batch(kind=np.zeros(len(nodes), np.int32), a=batch.column(0).cast(pa.int64()), b=pa.array(sizes, pa.int64()), c=pa.array(nodes, pa.int64()))
+            yield _batch(kind=np.zeros(len(nodes), np.int32), a=batch.column(0).cast(pa.int64()), b=pa.array(sizes, pa.int64()), c=pa.array(nodes, pa.int64()), mark=pa.array(marks, pa.binary()))
             if rows > COUNTED:
                 yield often()
                 held, rows, seen = [], 0, set()
@@ -271,20 +280,27 @@ def _meet_pivots(ratio: Ratio):
 
 
 def _meet_all(ratio: Ratio):
-    """Over rows (sig, cell, side, node, place, label) by (sig, cell): pairs of different labels that can still link.
+    """Over rows (sig, cell, side, node, place, label, mark) by (sig, cell): pairs of different labels that can still link.
 
-    A cell holds one block of a list, or two that meet each other; its size is
+    They can if the lists' places and the marks' distance leave room for the
+    overlap; marks of sets that differ too much tell so without the sets. A cell holds one block of a list, or two that meet each other; its size is
     bounded by the blocks'.
     """
 
-    def cell(side, node, place, label):
+    def cell(side, node, place, label, mark):
         left = np.flatnonzero(side != 2)
         right = np.flatnonzero(side != 1)
         for k in range(0, len(left), 512):
             i = left[k : k + 512]
             grid = (label[i][:, None] != label[right][None, :]) & may_link(ratio, place[i][:, None], place[right][None, :])
             x, y = np.nonzero(grid)
-            a, b = node[i[x]], node[right[y]]
+            x, y = i[x], right[y]
+            fits = np.empty(len(x), bool)
+            for j in range(0, len(x), 65_536):
+                p, q = x[j : j + 65_536], y[j : j + 65_536]
+                n, m = place[p] >> 32, place[q] >> 32
+                fits[j : j + 65_536] = np.bitwise_count(mark[p] ^ mark[q]).sum(axis=1) <= n + m - 2 * ratio.overlap(n, m)
+            a, b = node[x[fits]], node[y[fits]]
             yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +322,7 @@ def _meet_all(ratio: Ratio):
 
         for batch in batches:
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            new.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, MARK // 64))
             columns = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
             rest, made = out(columns, False)
             if made is not None:
@@ -452,7 +469,10 @@ def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str
     named = materialise(named, "join-named")
     apart = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select(F.col("sig").alias("s"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     again = named.join(apart, F.col("sig") == F.col("s")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = again.select("sig", "node", "place", "label", "mine", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    marks = profile.where("kind = 0 and mark is not null").select(F.col("c").alias("mn"), "mark")
+    marks = marks.join(again.select("node").distinct(), F.col("mn") == F.col("node"), "left_semi").groupBy("mn").agg(F.first("mark").alias("mark"))
+    again = again.join(marks, F.col("node") == F.col("mn"))
+    cells = again.select("sig", "node", "place", "label", "mark", "mine", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select(
         "sig",
         (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("cell"),
@@ -460,6 +480,7 @@ def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str
         "node",
         "place",
         "label",
+        "mark",
     )
     more = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "side", "node").mapInArrow(_meet_all(ratio), "a long, b long")
     more = materialise(more.distinct().join(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"), "join-pairs-again")
