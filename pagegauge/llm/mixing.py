@@ -74,15 +74,8 @@ def same(a: Column | str, b: Column | str) -> Column:
     return (F.col(a) if isinstance(a, str) else a).eqNullSafe(F.col(b) if isinstance(b, str) else b)
 
 
-def mix(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, epochs, taken.
-
-    target // source_size complete epochs take every document of the source;
-    the rest of the target goes to documents in key order, the last one in part.
-    Sizes count words. Null sources form a source of their own, null and empty
-    texts have size 0 and nothing taken, repeated rows are documents of their
-    own. An empty table gives an empty result.
-    """
+def _taken(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
+    """mix() with h, the hash of id, text and seed."""
     rows = materialise(sized(docs, None if labels is None else quality_weights(labels), seed, buckets), "mix-sizes")
     cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
     totals = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
@@ -101,9 +94,41 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, mo
     plan = aims.join(cut, F.col("source").eqNullSafe(F.col("__s2")), "left").select(F.col("source").alias("__ps"), "source_size", "target", "epochs", "rest", "cut", "before")
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("__ps"))).drop("__ps")
     whole = F.when(F.col("bucket") < F.coalesce("cut", F.lit(2**30)), F.col("size")).otherwise(F.lit(0).cast("long"))
-    ends = placed.where(F.coalesce(F.col("bucket") != F.col("cut"), F.lit(True))).select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + F.when(F.col("rest") > 0, whole).otherwise(F.lit(0))).alias("taken"))
+    ends = placed.where(F.coalesce(F.col("bucket") != F.col("cut"), F.lit(True))).select("doc_id", "size", "source", "source_size", "target", "epochs", "h", (F.col("epochs") * F.col("size") + F.when(F.col("rest") > 0, whole).otherwise(F.lit(0))).alias("taken"))
     ordered = Window.partitionBy("source").orderBy("key", "h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = placed.where(F.col("bucket") == F.col("cut")).withColumn("__b", F.col("before") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("__b")))
-    middle = middle.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    middle = middle.select("doc_id", "size", "source", "source_size", "target", "epochs", "h", (F.col("epochs") * F.col("size") + part).alias("taken"))
     return ends.unionByName(middle)
+
+
+def mix(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, epochs, taken.
+
+    target // source_size complete epochs take every document of the source;
+    the rest of the target goes to documents in key order, the last one in part.
+    Sizes count words. Null sources form a source of their own, null and empty
+    texts have size 0 and nothing taken, repeated rows are documents of their
+    own. An empty table gives an empty result.
+    """
+    return _taken(docs, labels, share, most, seed, buckets).drop("h")
+
+
+def mixed(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
+    """The rows of docs as often as mix() takes them; one taken in part comes once more, whole.
+
+    Rows of size 0 come once for every complete epoch of their source, at least
+    once. Rows that are equal in id, text and source share their copies.
+    """
+    names = docs.columns
+    taken = _taken(docs, labels, share, most, seed, buckets)
+    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.greatest(F.col("epochs"), F.lit(1)))
+    taken = taken.groupBy(F.col("h").alias("__h"), F.col("source").alias("__s")).agg(F.sum(copies).cast("long").alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    keyed = docs.withColumn("__k", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    joined = keyed.join(taken, (F.col("__k") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s")))
+    # equal rows: each takes the mean, rounded by its place; a place is only needed where rows repeat
+    alone = joined.where("__rows = 1").withColumn("__c", F.col("__n"))
+    place = F.row_number().over(Window.partitionBy("__k", "__s").orderBy(F.lit(0)))
+    several = joined.where("__rows > 1").withColumn("__p", place).withColumn("__c", F.floor(F.col("__n") * F.col("__p") / F.col("__rows")) - F.floor(F.col("__n") * (F.col("__p") - 1) / F.col("__rows")))
+    rows = alone.select(*names, "__c").unionByName(several.select(*names, "__c")).where("__c > 0")
+    return rows.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*names)

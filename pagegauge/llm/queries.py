@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, ngram_join, quality_rules, secrets
+import corpus_pipeline
+
+from . import bpe, chat, html_text, media, mixing, ngram_join, quality_rules, secrets, toxicity, urls
 from .shared import materialise, table
 
 
@@ -30,10 +32,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(turns.unionByName(probe)))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.fit(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.to_media(table(spark, sf_dir, "documents"))).drop("error")
 
@@ -42,6 +53,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.report(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialise(quality_rules.statistics(table(spark, sf_dir, "documents")), "quality-statistics")
     rules = quality_rules.fit(stats, table(spark, sf_dir, "labels"))
@@ -54,10 +70,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": op1_ngram_join,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_chat_format": op3_chat_format,
+        "op4_html_text": op4_html_text,
         "op5_secret_scans": op5_secret_scans,
+        "op6_url_filter": op6_url_filter,
         "op7_media_columns": op7_media_columns,
         "op8_source_mixing": op8_source_mixing,
+        "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -16,8 +16,10 @@ import pyarrow as pa
 PIECE = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, and 5 modulo 8, so that its powers differ as long as can be
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII character that is neither a letter nor a digit.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def _lower() -> np.ndarray:
@@ -34,9 +36,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """Hashes of the words of texts; fold: A-Z count as a-z."""
+    """Hashes of the words of texts; fold: A-Z count as a-z; between: the bytes that part words."""
 
-    def __init__(self, fold: bool = True, seed: int = 1) -> None:
+    def __init__(self, fold: bool = True, seed: int = 1, between: np.ndarray = SPACES) -> None:
+        self.between = between
         values = mix(np.arange(1, 257, dtype=np.uint64) + _U(seed) * _U(0x632BE59BD9B4E019))
         self.values = values[_lower()] if fold else values
         self._powers(PIECE + 4096)
@@ -63,14 +66,14 @@ class WordHasher:
         while at < n:
             end = min(n, at + PIECE)
             if end < n:  # cut behind a space, or else where a text begins
-                back = np.flatnonzero(_SPACE[data[max(at, end - 4096) : end]])
+                back = np.flatnonzero(self.between[data[max(at, end - 4096) : end]])
                 if len(back):
                     end = max(at, end - 4096) + int(back[-1]) + 1
                 else:
-                    while end < n and not _SPACE[data[end]]:
+                    while end < n and not self.between[data[end]]:
                         end += 1
             piece = data[at:end]
-            word = ~_SPACE[piece]
+            word = ~self.between[piece]
             first, last = word.copy(), word.copy()
             first[1:] &= ~word[:-1]
             last[:-1] &= ~word[1:]
