@@ -196,10 +196,11 @@ MEETINGS = "kind int, a long, b long, c long"
 
 
 def _meet_pivots(ratio: Ratio):
-    """Over postings by (signature, node): rows (0, node, node, null) of pairs to verify and (1, signature, node, place) of lists to look at again.
+    """Over postings by (signature, node): rows (0, node, node, null) of pairs to verify, (2, pivot, node, null) of pairs of
+    which one a node will do, and (1, signature, node, place) of lists to look at again.
 
-    Members of a list of up to 3 meet each other, those of longer ones meet its
-    first member. A list is never held: what goes on from buffer to buffer is
+    Members of a list of up to 3 meet each other, those of longer ones may meet
+    its first member. A list is never held: what goes on from buffer to buffer is
     its first member.
     """
 
@@ -215,13 +216,13 @@ def _meet_pivots(ratio: Ratio):
                 twin = np.zeros(len(sig), bool)
                 twin[1:] = (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])
                 sig, node, place = sig[~twin], node[~twin], place[~twin]
-            pairs, wide = [], []
+            pairs, stars, wide = [], [], []
             if open_ is not None:
                 k = int(np.searchsorted(sig, open_[0], side="right"))
                 if k:
                     on = slice(1 if node[0] == open_[3] else 0, k)
                     ok = may_link(ratio, np.full(len(place[on]), open_[2]), place[on])
-                    pairs.append((np.full(int(ok.sum()), open_[1]), node[on][ok]))
+                    stars.append((np.full(int(ok.sum()), open_[1]), node[on][ok]))
                     wide.append((sig[on], node[on], place[on]))
                     open_ = (*open_[:3], int(node[k - 1]))
                     sig, node, place = sig[k:], node[k:], place[k:]
@@ -249,17 +250,20 @@ def _meet_pivots(ratio: Ratio):
                         pick &= size[j] == 3
                     i, j = i[pick], j[pick]
                     ok = may_link(ratio, place[i], place[j])
-                    pairs.append((node[i][ok], node[j][ok]))
+                    i, j = i[ok], j[ok]
+                    few = size[j] <= 3
+                    pairs.append((node[i[few]], node[j[few]]))
+                    stars.append((node[i[~few]], node[j[~few]]))
                 big = size > 3
                 wide.append((sig[big], node[big], place[big]))
-            a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            if len(low):
-                order = np.lexsort((high, low))
-                low, high = low[order], high[order]
-                new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-                low, high = low[new], high[new]
-            yield _batch(kind=np.zeros(len(low), np.int32), a=low, b=high, c=pa.nulls(len(low), pa.int64()))
+            for kind, found in ((0, pairs), (2, stars)):
+                if found:
+                    low, high = (np.concatenate([p[k] for p in found]) for k in (0, 1))
+                    order = np.lexsort((low, high))
+                    low, high = low[order], high[order]
+                    # of a node's pivots the least is met
+                    new = np.concatenate([[True], (high[1:] != high[:-1]) | ((low[1:] != low[:-1]) & (kind == 0))])[: len(low)]
+                    yield _batch(kind=np.full(int(new.sum()), kind, np.int32), a=low[new], b=high[new], c=pa.nulls(int(new.sum()), pa.int64()))
             s, n, p = (np.concatenate([w[k] for w in wide]) if wide else np.empty(0, np.int64) for k in (0, 1, 2))
             if len(s):
                 yield _batch(kind=np.ones(len(s), np.int32), a=s, b=n, c=p)
@@ -279,11 +283,13 @@ def _meet_pivots(ratio: Ratio):
     return run
 
 
-def _meet_all(ratio: Ratio):
+def _meet_all(ratio: Ratio, nearest: bool):
     """Over rows (sig, cell, side, node, place, label, mark) by (sig, cell): pairs of different labels that can still link.
 
     They can if the lists' places and the marks' distance leave room for the
-    overlap; marks of sets that differ too much tell so without the sets. A cell holds one block of a list, or two that meet each other; its size is
+    overlap; marks of sets that differ too much tell so without the sets. Rows
+    are (node, node, distance of marks); with ``nearest`` each node is given the
+    nearest of a cell only, once as a of its row. A cell holds one block of a list, or two that meet each other; its size is
     bounded by the blocks'.
     """
 
@@ -295,13 +301,20 @@ def _meet_all(ratio: Ratio):
             grid = (label[i][:, None] != label[right][None, :]) & may_link(ratio, place[i][:, None], place[right][None, :])
             x, y = np.nonzero(grid)
             x, y = i[x], right[y]
-            fits = np.empty(len(x), bool)
+            far = np.empty(len(x), np.int64)
             for j in range(0, len(x), 65_536):
                 p, q = x[j : j + 65_536], y[j : j + 65_536]
-                n, m = place[p] >> 32, place[q] >> 32
-                fits[j : j + 65_536] = np.bitwise_count(mark[p] ^ mark[q]).sum(axis=1) <= n + m - 2 * ratio.overlap(n, m)
-            a, b = node[x[fits]], node[y[fits]]
-            yield np.minimum(a, b), np.maximum(a, b)
+                far[j : j + 65_536] = np.bitwise_count(mark[p] ^ mark[q]).sum(axis=1)
+            n, m = place[x] >> 32, place[y] >> 32
+            fits = far <= n + m - 2 * ratio.overlap(n, m)
+            x, y, far = x[fits], y[fits], far[fits]
+            if not nearest:
+                yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), far
+            else:
+                for u, v in ((x, y), (y, x)):
+                    order = np.lexsort((node[v], far, u))
+                    first = order[np.concatenate([[True], u[order][1:] != u[order][:-1]])[: len(order)]]
+                    yield node[u[first]], node[v[first]], far[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -309,15 +322,13 @@ def _meet_all(ratio: Ratio):
         def out(columns, last):
             sig, cell_no = columns[0], columns[1]
             cuts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (cell_no[1:] != cell_no[:-1]), [True]])) if len(sig) else np.zeros(1, int)
-            lows, highs = [], []
+            made = []
             for a, b in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1]):
-                for low, high in cell(*[c[a:b] for c in columns[2:]]):
-                    lows.append(low)
-                    highs.append(high)
+                made += cell(*[c[a:b] for c in columns[2:]])
             kept = None if last or len(cuts) < 2 else [c[cuts[-2] :] for c in columns]
-            if lows:
-                both = np.unique(np.stack([np.concatenate(lows), np.concatenate(highs)]), axis=1)
-                return kept, _batch(a=both[0], b=both[1])
+            if made:
+                all_ = np.unique(np.stack([np.concatenate([m[k] for m in made]) for k in range(3)]), axis=1)
+                return kept, _batch(a=all_[0], b=all_[1], far=all_[2])
             return kept, None
 
         for batch in batches:
@@ -442,6 +453,30 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, ratio: Ratio) -> DataF
     return out
 
 
+def _apart(wide: DataFrame, labels: DataFrame, marks: DataFrame, ratio: Ratio, nearest: bool) -> DataFrame:
+    """(a, b): pairs of different components in the same list that can still link; with ``nearest`` one for each node."""
+    named = wide.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("sig", "node", "place", F.coalesce("label", "node").alias("label"))
+    apart = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select(F.col("sig").alias("s"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    again = named.join(apart, F.col("sig") == F.col("s")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    again = materialise(again.select("sig", "node", "place", "label", "mine", "blocks"), "join-apart")
+    needed = marks.join(again.select("node").distinct(), F.col("mn") == F.col("node"), "left_semi").groupBy("mn").agg(F.first("mark").alias("mark"))
+    marked = again.join(needed, F.col("node") == F.col("mn"))
+    cells = marked.select("sig", "node", "place", "label", "mark", "mine", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select(
+        "sig",
+        (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("cell"),
+        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+        "node",
+        "place",
+        "label",
+        "mark",
+    )
+    met = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "side", "node").mapInArrow(_meet_all(ratio, nearest), "a long, b long, far long")
+    if nearest:
+        met = met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links, its own included).
 
@@ -460,33 +495,27 @@ def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str
     limit = boundary(1 + sum(c * c for _, c in heavy) / max(1, total), ratio)
     postings = docs.select("text").mapInArrow(_postings(size, heavy, limit, ratio), POSTINGS)
     met = materialise(postings.repartition("sig").sortWithinPartitions("sig", "node", "place").mapInArrow(_meet_pivots(ratio), MEETINGS), "join-meetings")
-    pairs = materialise(met.where("kind = 0").select("a", "b").distinct(), "join-pairs")
-    links = _linked(docs, pairs, size, ratio)
+    star = met.where("kind = 2").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    seen = materialise(met.where("kind = 0").select("a", "b").unionByName(star).distinct(), "join-pairs")
+    links = _linked(docs, seen, size, ratio)
     labels = materialise(components(links), "join-labels")
-    # lists whose members are still apart
-    wide = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("c").alias("place"))
-    named = wide.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("sig", "node", "place", F.coalesce("label", "node").alias("label"))
-    named = materialise(named, "join-named")
-    apart = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select(F.col("sig").alias("s"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    again = named.join(apart, F.col("sig") == F.col("s")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # lists whose members are still apart: each member meets its nearest, while that links any; then all meet all
     marks = profile.where("kind = 0 and mark is not null").select(F.col("c").alias("mn"), "mark")
-    marks = marks.join(again.select("node").distinct(), F.col("mn") == F.col("node"), "left_semi").groupBy("mn").agg(F.first("mark").alias("mark"))
-    again = again.join(marks, F.col("node") == F.col("mn"))
-    cells = again.select("sig", "node", "place", "label", "mark", "mine", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(
-        "sig",
-        (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("cell"),
-        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        "node",
-        "place",
-        "label",
-        "mark",
-    )
-    more = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "side", "node").mapInArrow(_meet_all(ratio), "a long, b long")
-    more = materialise(more.distinct().join(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"), "join-pairs-again")
-    if not more.isEmpty():
-        links = links.unionByName(_linked(docs, more, size, ratio))
-        labels = materialise(components(links), "join-labels")
+    wide = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("c").alias("place"))
+    nearest = True
+    while True:
+        more = _apart(wide, labels, marks, ratio, nearest)
+        more = more.join(seen.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
+        more = materialise(more, "join-pairs-again")
+        found = None if more.isEmpty() else _linked(docs, more, size, ratio)
+        if found is not None and not found.isEmpty():
+            links, seen = links.unionByName(found), seen.unionByName(more)
+            labels = materialise(components(links), "join-labels")
+        elif nearest:
+            seen = seen.unionByName(more)
+        if not nearest:
+            break
+        nearest = found is not None and not found.isEmpty()
     # the least id of each node, then of each component; nodes without links are their own
     least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     known = least.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", F.coalesce("label", "node").alias("label"), F.col("ln").isNotNull().alias("linked"), "least", "copies")
