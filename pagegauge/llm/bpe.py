@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Matches whose ids a worker remembers; beyond it forgets all of them.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _NONE = 1 << 62
 
 

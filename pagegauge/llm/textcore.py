@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+#: Texts whose words are held at a time.
+ROWS = 1_024
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, and 5 modulo 8, so that its powers differ as long as can be
 SPACES = np.zeros(256, bool)
@@ -36,10 +38,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """Hashes of the words of texts; fold: A-Z count as a-z; between: the bytes that part words."""
+    """Hashes of the words of texts; fold: A-Z count as a-z; between: the bytes that part words.
 
-    def __init__(self, fold: bool = True, seed: int = 1, between: np.ndarray = SPACES) -> None:
-        self.between = between
+    prefixes: lengths in bytes; each word then has as many hashes more, of its
+    beginnings, and of itself again where it is no longer than that.
+    """
+
+    def __init__(self, fold: bool = True, seed: int = 1, between: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> None:
+        self.between, self.prefixes = between, prefixes
         values = mix(np.arange(1, 257, dtype=np.uint64) + _U(seed) * _U(0x632BE59BD9B4E019))
         self.values = values[_lower()] if fold else values
         self._powers(PIECE + 4096)
@@ -56,10 +62,17 @@ class WordHasher:
         sums = np.empty(len(data) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        down, part = self.down[starts], _U(0xD6E8FEB86659FD93)
+        out = np.empty((len(starts), 1 + len(self.prefixes)), np.uint64)
+        out[:, 0] = mix((sums[ends] - sums[starts]) * down + (ends - starts).astype(np.uint64) * part)
+        for k, n in enumerate(self.prefixes, 1):
+            # a beginning is told from a whole word by the odd salt
+            begun = mix((sums[np.minimum(starts + n, ends)] - sums[starts]) * down + _U((n * 0xD6E8FEB86659FD93 + 1) & (2**64 - 1)))
+            out[:, k] = np.where(ends - starts > n, begun, out[:, 0])
+        return out.reshape(-1)
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of the texts data[offsets[k]:offsets[k + 1]], and each text's first place among them."""
+        """Hashes of all words of the texts data[offsets[k]:offsets[k + 1]], word by word, and each text's first place among them."""
         n, hashes, begins = len(data), [], []
         marks = offsets[:-1]
         at = 0
@@ -87,7 +100,7 @@ class WordHasher:
             at = end
         if not hashes:
             return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-        return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+        return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets) * (1 + len(self.prefixes))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +127,11 @@ class Shingler:
         self.size, self.hasher = size, WordHasher()
 
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """For each text its distinct shingles' hashes, ascending."""
+        """For each text its distinct shingles' hashes, ascending. ROWS texts are in work at a time."""
+        for k in range(0, len(column), ROWS):
+            yield from self._sets(column[k : k + ROWS])
+
+    def _sets(self, column: pa.Array) -> Iterator[np.ndarray]:
         data, offsets = utf8(column)
         words, first = self.hasher.words(data, offsets)
         runs = np.zeros(max(0, len(words) - self.size + 1), np.uint64)

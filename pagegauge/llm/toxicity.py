@@ -1,7 +1,7 @@
 """Toxicity: a chain of linear classifiers, each fed the probabilities of those before it.
 
 Later models are trained on out-of-fold probabilities of the earlier ones, so
-that they meet at scoring what they met in training. Words are hashed to
+that they meet at scoring what they met in training. Words and their beginnings are hashed to
 buckets, vectorised over Arrow columns; a model looks at a bounded number of
 chosen buckets, so scoring a text of any length touches its words once.
 """
@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import MARKS, Shingler, WordHasher, utf8
+from .textcore import MARKS, ROWS, Shingler, WordHasher, utf8
 
 SLOTS = 18
+#: Probability of the last category from which a document is rejected.
+THRESHOLD = 0.35
 #: Earlier categories: name -> words whose presence in a toxic document marks it. Fixed values.
 SEEDS = {
     "name_calling": ("idiot", "moron", "clown", "loser", "scum", "trash"),
@@ -26,11 +28,13 @@ SEEDS = {
 }
 LAST = "toxic"
 #: Labelled rows that training reads at most, and buckets that a model looks at at most.
-SAMPLE_ROWS, FEATURES, FOLDS = 12_000, 256, 5
+SAMPLE_ROWS, FEATURES, FOLDS = 12_000, 512, 5
+#: Bytes of words' beginnings that count as features beside the words, for what only shows with its endings left off.
+PREFIXES = (4, 5, 6, 7, 8, 9)
 
 
 def _hasher() -> WordHasher:
-    return WordHasher(between=MARKS)
+    return WordHasher(between=MARKS, prefixes=PREFIXES)
 
 
 def slots(words: np.ndarray) -> np.ndarray:
@@ -72,6 +76,10 @@ class Chain:
         hasher = _hasher()
 
         def score(texts: pa.Array) -> np.ndarray:
+            parts = [some(texts[k : k + ROWS]) for k in range(0, len(texts), ROWS)]
+            return np.concatenate(parts) if parts else np.zeros((0, len(self.links)))
+
+        def some(texts: pa.Array) -> np.ndarray:
             data, offsets = utf8(texts)
             words, first = hasher.words(data, offsets)
             at = place[slots(words)]
@@ -155,10 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     def run(batches):
         hasher, shingler = _hasher(), Shingler()
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            words, first = hasher.words(data, offsets)
-            at = slots(words)
-            found = [np.unique(at[a:b]) for a, b in zip(first[:-1], first[1:])]
+            found = []
+            for k in range(0, batch.num_rows, ROWS):
+                words, first = hasher.words(*utf8(batch.column(2)[k : k + ROWS]))
+                at = slots(words)
+                found += [np.unique(at[a:b]) for a, b in zip(first[:-1], first[1:])]
             least = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingler.sets(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "y", "least", "slots"])
 
@@ -190,7 +199,7 @@ def probabilities(chain: Chain, text: Column) -> Column:
     return score(text.cast("string"))
 
 
-def judged(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs with __p (probabilities) and __toxic: the last category's probability reaches the threshold.
 
     Null and empty texts have the chain's bias alone and are not toxic; an empty
@@ -202,13 +211,13 @@ def judged(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str
     return scored.withColumn("__toxic", (F.element_at("__p", -1) >= threshold) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0))
 
 
-def report(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
+def report(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """doc_id, a probability for each category (p_...), and rejected, of every row."""
     names = chain.names or [*SEEDS, LAST]
     rows = judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), chain, threshold)
     return rows.select("doc_id", *[F.coalesce(F.try_element_at("__p", F.lit(k + 1)), F.lit(0.0)).alias(f"p_{n}") for k, n in enumerate(names)], F.col("__toxic").alias("rejected"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the chain, fitted to docs and labels, does not reject."""
     return judged(docs, fit(docs, labels), threshold).where(~F.col("__toxic")).select(*docs.columns)
