@@ -28,7 +28,7 @@ SEEDS = {
 }
 LAST = "toxic"
 #: Labelled rows that training reads at most, and buckets that a model looks at at most.
-SAMPLE_ROWS, FEATURES, FOLDS = 12_000, 512, 5
+SAMPLE_ROWS, FEATURES, FOLDS = 8_000, 512, 5
 #: Bytes of words' beginnings that count as features beside the words, for what only shows with its endings left off.
 PREFIXES = (4, 5, 6, 7, 8, 9)
 
@@ -116,7 +116,13 @@ def _choose(rows: Sequence[np.ndarray], y: np.ndarray, most: int, least_z: float
     n1, n0 = y.sum(), (~y).sum()
     if not n1 or not n0:
         return np.empty(0, np.int64)
-    count = lambda pick: np.bincount(np.concatenate([rows[k] for k in np.flatnonzero(pick)] or [np.empty(0, np.int64)]), minlength=1 << SLOTS)
+
+    def count(pick: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << SLOTS)
+        for k in np.flatnonzero(pick):
+            out[rows[k]] += 1  # a row's slots are distinct
+        return out
+
     a, b = count(y) + 0.5, count(~y) + 0.5
     z = np.log(a / (n1 + 1 - a) * (n0 + 1 - b) / b) / np.sqrt(1 / a + 1 / b)
     best = np.argsort(-z, kind="stable")[:most]
@@ -167,19 +173,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
             for k in range(0, batch.num_rows, ROWS):
                 words, first = hasher.words(*utf8(batch.column(2)[k : k + ROWS]))
                 at = slots(words)
-                found += [np.unique(at[a:b]) for a, b in zip(first[:-1], first[1:])]
+                found += [np.unique(at[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:])]
             least = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingler.sets(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "y", "least", "slots"])
-
-    rows = texts.select("__doc", F.col("__y").cast("int"), "__text").mapInArrow(run, "id long, y int, least long, slots array<long>").toArrow()
-    rows = rows.sort_by([("least", "ascending"), ("id", "ascending")]).to_pydict()
-    keep, last = [], None
-    for k, least in enumerate(rows["least"]):
-        if least != last:
-            keep.append(k)
-        last = least
-    found = [np.array(rows["slots"][k], np.int64) for k in keep]
-    toxic = np.array([rows["y"][k] > 0 for k in keep], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "least", "slots"])
+
+    # flat arrays, not Python numbers: a few hundred bytes of slots for every kilobyte of sampled text
+    rows = texts.select("__doc", F.col("__y").cast("int"), "__text").mapInArrow(run, "id long, y int, least long, slots array<int>").toArrow().combine_chunks()
+    ids, least, y = (rows.column(c).to_numpy() for c in ("id", "least", "y"))
+    lists = rows.column("slots").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    order = np.lexsort((ids, least))
+    keep = order[np.concatenate([[True], least[order][1:] != least[order][:-1]])[: len(order)]]
+    found = [flat[ends[k] : ends[k + 1]] for k in keep]
+    toxic = y[keep] > 0
     seeds = {name: [slot_of(w) for w in words] for name, words in SEEDS.items()}
     categories = {name: toxic & np.array([bool(np.isin(s, x).any()) for x in found], bool) for name, s in seeds.items()}
     return train(found, {**categories, LAST: toxic})
