@@ -633,3 +633,60 @@ def qc_report_summary(spark, d):
     totals = pages.agg(F.count(F.lit(1)).alias("n_pages"), F.count_distinct("file").alias("n_files"))
     each = pages.select("verdict", F.explode(F.when(F.size("reasons") == 0, F.array(F.lit("none"))).otherwise(F.col("reasons"))).alias("code")).groupBy("verdict", "code").agg(F.count(F.lit(1)).alias("n"))
     return each.join(totals).select("n_pages", "n_files", "verdict", "code", "n")
+
+
+# --- pixels measured in Python, and streams
+
+
+def _photos(spark, d):
+    """One synthetic photo for each row of region."""
+    import pandas as pd
+
+    from ..functions import kernels
+    from ..sources import codecs
+
+    def make(batches):
+        for batch in batches:
+            yield pd.DataFrame({"file": [f"photo-{n}.png" for n in batch["seed"]], "content": [codecs.encode_png(kernels.synthetic_photo(int(n), 700, 500)) for n in batch["seed"]]})
+
+    return b.read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("seed")).mapInPandas(make, "file string, content binary")
+
+
+@query()
+def img_measure_synthetic(spark, d):
+    from ..operators import measure
+
+    rows = measure.judged(_photos(spark, d), measure.Pipeline(keep_images=False))
+    return rows.select("file", "page", "verdict", report.joined_reasons(F.col("reasons")).alias("reasons"), *[F.round(c, 4).alias(c) for c in ("quad_area_ratio", "skew_ratio", "blur_score", "median_brightness", "text_skew_deg")])
+
+
+@query()
+def img_detect_edge(spark, d):
+    from ..operators import measure
+
+    rows = measure.measured(_photos(spark, d), measure.Pipeline(settings=Settings(detector="edge-hough"), keep_images=False))
+    return rows.select("file", "detector", "detector_confidence", F.round("quad_area_ratio", 4).alias("quad_area_ratio"), F.size("corners").alias("n_corners"))
+
+
+@query()
+def pdf_round_trip(spark, d):
+    """Photos measured, each written as a PDF of its page, and the PDFs measured again."""
+    from ..operators import measure
+    from ..sources import sinks
+
+    once = measure.judged(_photos(spark, d))
+    again = measure.judged(sinks.documents_pdf(once).select(F.concat("file", F.lit(".pdf")).alias("file"), F.col("pdf").alias("content")), measure.Pipeline(keep_images=False))
+    return again.select("file", "page", "page_count", "pdf_source", "pre_cropped", "verdict")
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_window_counts(spark, d):
+    """Windowed counts over the events as a stream that ends with what is there."""
+    import uuid
+
+    schema = b.read(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = rows.withWatermark("ts", "20 minutes").groupBy(F.window("ts", "10 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    name = f"stream_{uuid.uuid4().hex}"
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
