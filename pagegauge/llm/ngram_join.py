@@ -499,23 +499,19 @@ def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str
     seen = materialise(met.where("kind = 0").select("a", "b").unionByName(star).distinct(), "join-pairs")
     links = _linked(docs, seen, size, ratio)
     labels = materialise(components(links), "join-labels")
-    # lists whose members are still apart: each member meets its nearest, while that links any; then all meet all
+    # lists whose members are still apart: each member meets its nearest, then all meet all
     marks = profile.where("kind = 0 and mark is not null").select(F.col("c").alias("mn"), "mark")
     wide = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("c").alias("place"))
-    nearest = True
-    while True:
+    for nearest in (True, False):
         more = _apart(wide, labels, marks, ratio, nearest)
         more = more.join(seen.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
         more = materialise(more, "join-pairs-again")
-        found = None if more.isEmpty() else _linked(docs, more, size, ratio)
-        if found is not None and not found.isEmpty():
-            links, seen = links.unionByName(found), seen.unionByName(more)
+        if more.isEmpty():
+            continue
+        seen, found = seen.unionByName(more), _linked(docs, more, size, ratio)
+        if not found.isEmpty():
+            links = links.unionByName(found)
             labels = materialise(components(links), "join-labels")
-        elif nearest:
-            seen = seen.unionByName(more)
-        if not nearest:
-            break
-        nearest = found is not None and not found.isEmpty()
     # the least id of each node, then of each component; nodes without links are their own
     least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     known = least.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", F.coalesce("label", "node").alias("label"), F.col("ln").isNotNull().alias("linked"), "least", "copies")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, materialise
+from .shared import materialise
 
 #: Base kinds in order: name -> (pattern, group that is the value, least length of it).
 BASE = {

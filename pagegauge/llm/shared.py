@@ -12,7 +12,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

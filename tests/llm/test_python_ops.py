@@ -1,4 +1,3 @@
-import base64
 import hashlib
 import random
 import zlib
