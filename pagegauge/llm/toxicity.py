@@ -111,8 +111,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def _choose(rows: Sequence[np.ndarray], y: np.ndarray, most: int, least_z: float = 5.0) -> np.ndarray:
-    """Slots that stand out in positive rows, by the z score of their log odds."""
+def _choose(rows: Sequence[np.ndarray], y: np.ndarray, most: int, least_odds: float = 2.5, least_rows: int = 3) -> np.ndarray:
+    """The slots that stand out most in positive rows, by the z score of their log odds.
+
+    A slot is in at least ``least_rows`` positive rows and its log odds are at
+    least ``least_odds``: how much it tells, which does not change with the
+    number of labels as the z score does. The ridge holds what is noise.
+    """
     n1, n0 = y.sum(), (~y).sum()
     if not n1 or not n0:
         return np.empty(0, np.int64)
@@ -124,9 +129,10 @@ def _choose(rows: Sequence[np.ndarray], y: np.ndarray, most: int, least_z: float
         return out
 
     a, b = count(y) + 0.5, count(~y) + 0.5
-    z = np.log(a / (n1 + 1 - a) * (n0 + 1 - b) / b) / np.sqrt(1 / a + 1 / b)
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[(z[best] >= least_z) & (a[best] >= 4)])
+    odds = np.log(a / (n1 + 1 - a) * (n0 + 1 - b) / b)
+    able = np.flatnonzero((odds >= least_odds) & (a > least_rows))
+    z = odds[able] / np.sqrt(1 / a[able] + 1 / b[able])
+    return np.sort(able[np.argsort(-z, kind="stable")[:most]])
 
 
 def train(rows: Sequence[np.ndarray], labels: dict[str, np.ndarray], most: int = FEATURES, folds: int = FOLDS) -> Chain:
