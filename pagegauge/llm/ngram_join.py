@@ -477,15 +477,8 @@ def _apart(wide: DataFrame, labels: DataFrame, marks: DataFrame, ratio: Ratio, n
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least id reachable by links, its own included).
-
-    A link: ratio.den * intersection >= ratio.num * union of the sets of
-    shingles (``size`` words, A-Z folded; the whole text if shorter). Texts
-    that are null, empty or without words have no shingles and no links.
-    Repeated rows share a component. Null ids have a row each and count for
-    no component's least id. An empty table gives an empty result.
-    """
+def _meetings(docs: DataFrame, size: int, ratio: Ratio, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """(doc_id and text, rows with their nodes, meetings, nodes' marks, postings of long lists) of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = materialise(docs.mapInArrow(_profile(size), PROFILE), "join-profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
@@ -495,13 +488,37 @@ def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str
     limit = boundary(1 + sum(c * c for _, c in heavy) / max(1, total), ratio)
     postings = docs.select("text").mapInArrow(_postings(size, heavy, limit, ratio), POSTINGS)
     met = materialise(postings.repartition("sig").sortWithinPartitions("sig", "node", "place").mapInArrow(_meet_pivots(ratio), MEETINGS), "join-meetings")
+    marks = profile.where("kind = 0 and mark is not null").select(F.col("c").alias("mn"), "mark")
+    wide = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("c").alias("place"))
+    return docs, rows, met, marks, wide
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and node of each row, from the labels of linked nodes."""
+    # the least id of each node, then of each component; nodes without links are their own
+    least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    known = least.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", F.coalesce("label", "node").alias("label"), F.col("ln").isNotNull().alias("linked"), "least", "copies")
+    whole = known.groupBy("label").agg(F.min("least").alias("component"))
+    known = known.where("linked or copies > 1")
+    final = known.join(whole.withColumnRenamed("label", "wl"), F.col("label") == F.col("wl")).select(F.col("node").alias("fn"), "component")
+    return rows.join(final, F.col("node") == F.col("fn"), "left").select("doc_id", "n_shingles", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least id reachable by links, its own included).
+
+    A link: ratio.den * intersection >= ratio.num * union of the sets of
+    shingles (``size`` words, A-Z folded; the whole text if shorter). Texts
+    that are null, empty or without words have no shingles and no links.
+    Repeated rows share a component. Null ids have a row each and count for
+    no component's least id. An empty table gives an empty result.
+    """
+    docs, rows, met, marks, wide = _meetings(docs, size, ratio, id_col, text_col)
     star = met.where("kind = 2").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     seen = materialise(met.where("kind = 0").select("a", "b").unionByName(star).distinct(), "join-pairs")
     links = _linked(docs, seen, size, ratio)
     labels = materialise(components(links), "join-labels")
     # lists whose members are still apart: each member meets its nearest, then all meet all
-    marks = profile.where("kind = 0 and mark is not null").select(F.col("c").alias("mn"), "mark")
-    wide = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("c").alias("place"))
     for nearest in (True, False):
         more = _apart(wide, labels, marks, ratio, nearest)
         more = more.join(seen.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
@@ -512,13 +529,26 @@ def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = materialise(components(links), "join-labels")
-    # the least id of each node, then of each component; nodes without links are their own
-    least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    known = least.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", F.coalesce("label", "node").alias("label"), F.col("ln").isNotNull().alias("linked"), "least", "copies")
-    whole = known.groupBy("label").agg(F.min("least").alias("component"))
-    known = known.where("linked or copies > 1")
-    final = known.join(whole.withColumnRenamed("label", "wl"), F.col("label") == F.col("wl")).select(F.col("node").alias("fn"), "component")
-    return rows.join(final, F.col("node") == F.col("fn"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return _named(rows, labels).drop("node")
+
+
+def link_counts(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """classes() and n_links: the other rows that a row links to, rows with an equal set among them.
+
+    All members of each list meet, those of one component too, so the work is
+    that of all links: up to the square of a group's size where classes() costs
+    about the size.
+    """
+    docs, rows, met, marks, wide = _meetings(docs, size, ratio, id_col, text_col)
+    alone = docs.sparkSession.createDataFrame([], "node long, label long")
+    pairs = met.where("kind = 0").select("a", "b").unionByName(_apart(wide, alone, marks, ratio, False)).distinct()
+    links = _linked(docs, materialise(pairs, "join-pairs"), size, ratio)
+    copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(copies, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("near"))
+    own = copies.join(near, F.col("node") == F.col("a"), "left").select(F.col("node").alias("cn"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
+    out = _named(rows, materialise(components(links), "join-labels")).join(own, F.col("node") == F.col("cn"), "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
