@@ -18,7 +18,7 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 }
-#: Kinds that count only where their value looks live: issued tokens, signed tokens, key blocks, credentials in addresses.
+#: Kinds that are reported only where their value looks live, and redacted anywhere: issued tokens, signed tokens, key blocks, credentials in addresses.
 ADDED = {
     "issued": (r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", 0, 14),
     "signed": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
@@ -77,7 +77,7 @@ def ownership(found: DataFrame, max_owners: int = 1, max_repos: int = 3) -> Data
 
 
 def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, text_key, hits (base matches, and added ones that look live), n_live.
+    """One row per document: doc_id, text_key, hits (all matches), n_live.
 
     hits: array of (start, kind number, end, value hash, live), by start, then
     kind. Spans are code points with exclusive ends. A null or empty text has
@@ -99,8 +99,7 @@ def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, id_col: str =
     live = known.where("live").select(F.col("value").alias("__v"))
     marked = each.join(live, F.col("__h.value") == F.col("__v"), "left")
     span = F.struct(F.col("__h.start").alias("start"), F.col("__h.kind").alias("kind"), F.col("__h.end").alias("end"), F.col("__h.value").alias("value"), F.col("__v").isNotNull().alias("live"))
-    kept = F.col("__v").isNotNull() | (F.col("__h.kind") < len(BASE))
-    grouped = marked.groupBy("doc_id", "owner", "text_key").agg(F.first("__n").alias("__n"), F.sort_array(F.collect_list(F.when(kept, span))).alias("hits"))
+    grouped = marked.groupBy("doc_id", "owner", "text_key").agg(F.first("__n").alias("__n"), F.sort_array(F.collect_list(span)).alias("hits"))
     full = grouped.select("doc_id", "text_key", "hits", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).drop("__k")
     empty = scanned.where(F.size("hits") == 0).select("doc_id", "text_key", F.array().cast("array<struct<start:int,kind:int,end:int,value:bigint,live:boolean>>").alias("hits"))
     return full.unionByName(empty).withColumn("n_live", F.size(F.filter("hits", lambda h: h["live"])).cast("long"))
@@ -113,10 +112,11 @@ def span_text(spans: Column) -> Column:
 
 
 def report(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live of each scanned row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (base ones, and added ones that look live), n_live of each scanned row."""
     of = lambda name: F.size(F.filter("hits", lambda h: h["kind"] == ORDER[name])).cast("long").alias(f"n_{name}")
     base = F.filter("hits", lambda h: h["kind"] < len(BASE))
-    return scanned.select("doc_id", *[of(k) for k in BASE], F.sha2(F.encode(span_text(base), "UTF-8"), 256).alias("base_sha256"), span_text(F.col("hits")).alias("spans"), "n_live")
+    told = F.filter("hits", lambda h: h["live"] | (h["kind"] < len(BASE)))
+    return scanned.select("doc_id", *[of(k) for k in BASE], F.sha2(F.encode(span_text(base), "UTF-8"), 256).alias("base_sha256"), span_text(told).alias("spans"), "n_live")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
