@@ -11,8 +11,11 @@ Documents with equal sets are one node. Work on a list is never all its pairs:
 members meet one pivot each, linked nodes become components, and only members
 still in different components meet each other, in blocks, before the lists are
 exhausted; so a group of near copies costs about its size, and no link between
-components is lost. Marks, parities of hashed shingles, rule most of those out
-without their texts. Candidates are verified on whole texts.
+components is lost. Lists of heavy shingles are dealt in parts with a pivot
+each, and the parts' pivots meet. Marks, parities of hashed shingles, rule out
+most candidates without their texts. The rest are verified on whole texts, a
+pivot's text once for all it meets in a part. Words, shingles and sets are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,20 +28,24 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, materialise
+from .shared import joinable, materialise, scratch, unused
 from .textcore import Shingler, mix
 
-#: Rows of a lists' buffer in a Python worker; shingles that are counted together; bits of the candidates' filter.
-BUFFER, COUNTED, BITS = 200_000, 2_000_000, 1 << 23
+#: Rows of a lists' buffer in a Python worker; shingles that are counted together; postings or edges in work together.
+BUFFER, COUNTED, HELD = 200_000, 1_000_000, 200_000
+#: Bits of the candidates' filter: so many a candidate, within these bounds (16 MB at most).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Shingles at most that are put last for their long lists, a fixed bound of what is broadcast. Order is for speed: any gives the same links.
 HEAVY = 65_536
+#: Members of a list that meet one pivot; a list that may be longer is dealt in as many parts as that takes.
+PART = 2_048
 #: A list of more members than this is cut into blocks when its members meet each other.
-BLOCK = 2_048
-#: Bits of a set's mark.
-MARK = 2_048
+BLOCK = 1_024
+#: Least bits of a set's mark.
+MARK = 512
 _U = np.uint64
 
 
@@ -80,19 +87,44 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def mark_of(shingles: np.ndarray) -> bytes:
-    """Parities of the set's shingles over MARK slots: sets differ in at least as many shingles as their marks in bits."""
-    return np.packbits(np.bincount((shingles >> _U(7) & _U(MARK - 1)).astype(np.int64), minlength=MARK) & 1).tobytes()
+    """Parities of the set's shingles over slots, two or more a shingle: sets differ in at least as many shingles as their marks in bits."""
+    bits = max(MARK, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles >> _U(7) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(mark: bytes, size: int) -> np.ndarray:
+    """A mark as it were with fewer slots, ``size`` bytes of them: halves added up."""
+    out = np.frombuffer(mark, np.uint64)
+    while len(out) * 8 > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def distances(marks: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the marks of each pair of places differ, the longer one folded."""
+    widths = np.array([len(m) for m in marks])
+    level, out = np.minimum(widths[x], widths[y]), np.empty(len(x), np.int64)
+    for w in np.unique(level).tolist():
+        pick = np.flatnonzero(level == w)
+        ids = np.unique(np.concatenate([x[pick], y[pick]]))
+        rows = np.stack([folded(marks[k], w) for k in ids.tolist()])
+        step = max(1, (8 << 20) // w)
+        for j in range(0, len(pick), step):
+            some = pick[j : j + step]
+            out[some] = np.bitwise_count(rows[np.searchsorted(ids, x[some])] ^ rows[np.searchsorted(ids, y[some])]).sum(axis=1)
+    return out
 
 
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
-PROFILE = "kind int, a long, b long, c long, mark binary"
+PROFILE = "kind int, a long, key long, b long, c long, mark binary"
 
 
 def _profile(size: int):
-    """Rows (0, row's id, set size, node, mark) of documents and (1, shingle, count, null, null) of shingles often counted together."""
+    """Rows (0, row's id, text's key, set size, node, mark) of documents, a mark for the first row of a node at hand, and
+    (1, shingle, null, count, null, null) of shingles often counted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, rows, seen = Shingler(size), [], 0, set()
@@ -101,23 +133,24 @@ def _profile(size: int):
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             pick = counts >= 3
             v, c = values[pick].view(np.int64), counts[pick].astype(np.int64)
-            return _batch(kind=np.ones(len(v), np.int32), a=v, b=c, c=pa.nulls(len(v), pa.int64()), mark=pa.nulls(len(v), pa.binary()))
+            none = pa.nulls(len(v), pa.int64())
+            return _batch(kind=np.ones(len(v), np.int32), a=v, key=none, b=c, c=none, mark=pa.nulls(len(v), pa.binary()))
 
         for batch in batches:
             nodes, sizes, marks = [], [], []
-            for s in shingler.sets(batch.column(1)):
+            for s in shingler.sets(batch.column(2)):
                 node = node_of(s) if len(s) else None
                 nodes.append(node)
                 sizes.append(len(s))
-                marks.append(mark_of(s) if len(s) > 1 else None)
+                marks.append(mark_of(s) if len(s) > 1 and node not in seen else None)
                 if node is not None and node not in seen:
                     seen.add(node)
                     held.append(s)
                     rows += len(s)
-            yield _batch(kind=np.zeros(len(nodes), np.int32), a=batch.column(0).cast(pa.int64()), b=pa.array(sizes, pa.int64()), c=pa.array(nodes, pa.int64()), mark=pa.array(marks, pa.binary()))
-            if rows > COUNTED:
-                yield often()
-                held, rows, seen = [], 0, set()
+                if rows > COUNTED:
+                    yield often()
+                    held, rows, seen = [], 0, set()
+            yield _batch(kind=np.zeros(len(nodes), np.int32), a=batch.column(0), key=batch.column(1), b=pa.array(sizes, pa.int64()), c=pa.array(nodes, pa.int64()), mark=pa.array(marks, pa.binary()))
         if held:
             yield often()
 
@@ -150,20 +183,35 @@ def signatures(shingles: np.ndarray, limit: int, ratio: Ratio) -> tuple[np.ndarr
     return subsets, lists
 
 
-POSTINGS = "sig long, node long, place long"
+POSTINGS = "sig long, part int, node long, place long"
 
 
 def _postings(size: int, heavy: list[tuple[int, int]], limit: int, ratio: Ratio):
-    """Rows (signature, node, size << 32 | place) of each distinct set; subset signatures have place 0."""
+    """Rows (signature, part, node, size << 32 | place) of each distinct set; subset signatures have place 0.
+
+    part: -1, but for a shingle counted more than PART times the part of its list that the node is dealt to.
+    """
+    by_hash = sorted((h & (2**64 - 1), c) for h, c in heavy)
+    hashes = np.array([h for h, _ in by_hash], np.uint64)
+    counts = np.array([c for _, c in by_hash], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(size), set()
-        by_hash = sorted((np.uint64(h & (2**64 - 1)), c) for h, c in heavy)
-        hashes = np.array([h for h, _ in by_hash], np.uint64)
-        rank = np.empty(len(by_hash), np.int64)
-        rank[np.lexsort((hashes, np.array([c for _, c in by_hash], np.int64)))] = np.arange(len(by_hash))
+        rank = np.empty(len(hashes), np.int64)
+        rank[np.lexsort((hashes, counts))] = np.arange(len(hashes))
+        sigs, nodes, places, rows = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            part = np.full(len(sig), -1, np.int32)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, sig), len(hashes) - 1)
+                long_ = np.flatnonzero((hashes[at] == sig) & (counts[at] > PART))
+                parts = -(-counts[at[long_]] // PART)
+                part[long_] = (mix(node[long_].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+            return _batch(sig=sig.view(np.int64), part=part, node=node, place=np.concatenate(places))
+
         for batch in batches:
-            sigs, nodes, places = [], [], []
             for s in shingler.sets(batch.column(0)):
                 n = len(s)
                 if n < 2:  # alike only if equal
@@ -177,10 +225,14 @@ def _postings(size: int, heavy: list[tuple[int, int]], limit: int, ratio: Ratio)
                 sigs += [subsets, first]
                 nodes.append(np.full(len(subsets) + len(first), node, np.int64))
                 places += [np.full(len(subsets), n << 32, np.int64), (n << 32) + np.arange(len(first), dtype=np.int64)]
-            if nodes:
-                yield _batch(sig=np.concatenate(sigs).view(np.int64), node=np.concatenate(nodes), place=np.concatenate(places))
+                rows += len(subsets) + len(first)
+                if rows > HELD:
+                    yield out()
+                    sigs, nodes, places, rows = [], [], [], 0
             if len(seen) > COUNTED:
                 seen = set()
+        if rows:
+            yield out()
 
     return run
 
@@ -192,88 +244,101 @@ def may_link(ratio: Ratio, pa_: np.ndarray, pb: np.ndarray) -> np.ndarray:
     return (left >= ratio.overlap(n, m)) & (ratio.den * np.minimum(n, m) >= ratio.num * np.maximum(n, m))
 
 
-MEETINGS = "kind int, a long, b long, c long"
+MEETINGS = "kind int, a long, b long, c long, part int"
 
 
 def _meet_pivots(ratio: Ratio):
-    """Over postings by (signature, node): rows (0, node, node, null) of pairs to verify, (2, pivot, node, null) of pairs of
-    which one a node will do, and (1, signature, node, place) of lists to look at again.
+    """Over postings by (signature, part, node): rows (0, node, node) of pairs to verify, (2, pivot, node) of pairs of
+    which one a node will do, (1, signature, node, place) of lists to look at again, and (3, signature, node, place) of
+    the pivots of a list's parts.
 
-    Members of a list of up to 3 meet each other, those of longer ones may meet
-    its first member. A list is never held: what goes on from buffer to buffer is
-    its first member.
+    Members of a list of up to 3 meet each other, those of longer ones and of
+    parts may meet the first member. A list is never held: what goes on from
+    buffer to buffer is its first member. part: the pairs' pivots are dealt by it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 3
-        open_ = None  # (signature, pivot node, pivot place, last node) of a list that goes on
+        rest = [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]
+        open_ = None  # (signature, part, pivot node, pivot place, last node, members) of a list that goes on
         held: list[list[np.ndarray]] = []
         rows = 0
 
-        def work(sig, node, place, last: bool):
+        def of(kind: int, a, b, c=None, part=None) -> pa.RecordBatch:
+            n = len(a)
+            return _batch(kind=np.full(n, kind, np.int32), a=a, b=b, c=pa.nulls(n, pa.int64()) if c is None else c, part=np.zeros(n, np.int32) if part is None else part.astype(np.int32))
+
+        def work(sig, part, node, place, last: bool):
             nonlocal open_, rest
+            rest = [x[:0] for x in (sig, part, node, place)]
             if len(sig):
-                twin = np.zeros(len(sig), bool)
-                twin[1:] = (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])
-                sig, node, place = sig[~twin], node[~twin], place[~twin]
+                new = np.ones(len(sig), bool)
+                new[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1])
+                sig, part, node, place = (x[new] for x in (sig, part, node, place))
             pairs, stars, wide = [], [], []
             if open_ is not None:
-                k = int(np.searchsorted(sig, open_[0], side="right"))
+                on = (sig == open_[0]) & (part == open_[1])
+                k = int(on.sum())  # they come first
                 if k:
-                    on = slice(1 if node[0] == open_[3] else 0, k)
-                    ok = may_link(ratio, np.full(len(place[on]), open_[2]), place[on])
-                    stars.append((np.full(int(ok.sum()), open_[1]), node[on][ok]))
-                    wide.append((sig[on], node[on], place[on]))
-                    open_ = (*open_[:3], int(node[k - 1]))
-                    sig, node, place = sig[k:], node[k:], place[k:]
+                    mine = slice(1 if node[0] == open_[4] else 0, k)
+                    ok = may_link(ratio, np.full(len(place[mine]), open_[3]), place[mine])
+                    group = (open_[5] + np.arange(len(ok))) // PART
+                    stars.append((np.full(int(ok.sum()), open_[2]), node[mine][ok], group[ok]))
+                    wide.append((sig[mine], node[mine], place[mine]))
+                    open_ = (*open_[:4], int(node[k - 1]), open_[5] + len(ok))
+                    sig, part, node, place = (x[k:] for x in (sig, part, node, place))
                 if len(sig) or last:
                     open_ = None
             if len(sig):
-                starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                starts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])]))
                 runs = np.diff(np.append(starts, len(sig)))
                 if not last:
                     if runs[-1] > 8:  # a long list goes on as an open one
                         at = starts[-1]
-                        open_ = (int(sig[at]), int(node[at]), int(place[at]), int(node[-1]))
-                        rest = [np.empty(0, np.int64)] * 3
+                        open_ = (int(sig[at]), int(part[at]), int(node[at]), int(place[at]), int(node[-1]), int(runs[-1]))
                     else:
-                        rest = [x[starts[-1] :] for x in (sig, node, place)]
-                        sig, node, place = (x[: starts[-1]] for x in (sig, node, place))
+                        rest = [x[starts[-1] :] for x in (sig, part, node, place)]
+                        sig, part, node, place = (x[: starts[-1]] for x in (sig, part, node, place))
                         starts, runs = starts[:-1], runs[:-1]
-                else:
-                    rest = [np.empty(0, np.int64)] * 3
                 size, pivot = np.repeat(runs, runs), np.repeat(starts, runs)
                 here = np.arange(len(sig))
+                few = (size <= 3) & (part < 0)
                 for i, j in ((pivot, here), (here[:-1], here[1:])):  # with the first member; with the one before, in threes
-                    pick = (size[j] > 1) & (i < j) & (sig[i] == sig[j]) & ((j - pivot[j] < 2) | (size[j] <= 3) if len(i) < len(here) else True)
-                    if len(i) < len(here):
-                        pick &= size[j] == 3
+                    if len(i) == len(here):
+                        pick = i < j
+                    else:
+                        pick = (pivot[i] == pivot[j]) & (i > pivot[i]) & few[j]
                     i, j = i[pick], j[pick]
                     ok = may_link(ratio, place[i], place[j])
                     i, j = i[ok], j[ok]
-                    few = size[j] <= 3
-                    pairs.append((node[i[few]], node[j[few]]))
-                    stars.append((node[i[~few]], node[j[~few]]))
-                big = size > 3
-                wide.append((sig[big], node[big], place[big]))
-            for kind, found in ((0, pairs), (2, stars)):
-                if found:
-                    low, high = (np.concatenate([p[k] for p in found]) for k in (0, 1))
-                    order = np.lexsort((low, high))
-                    low, high = low[order], high[order]
-                    # of a node's pivots the least is met
-                    new = np.concatenate([[True], (high[1:] != high[:-1]) | ((low[1:] != low[:-1]) & (kind == 0))])[: len(low)]
-                    yield _batch(kind=np.full(int(new.sum()), kind, np.int32), a=low[new], b=high[new], c=pa.nulls(int(new.sum()), pa.int64()))
-            s, n, p = (np.concatenate([w[k] for w in wide]) if wide else np.empty(0, np.int64) for k in (0, 1, 2))
-            if len(s):
-                yield _batch(kind=np.ones(len(s), np.int32), a=s, b=n, c=p)
+                    some = few[j]
+                    pairs.append((node[i[some]], node[j[some]]))
+                    i, j = i[~some], j[~some]
+                    stars.append((node[i], node[j], (j - pivot[j]) // PART))
+                wide.append((sig[~few], node[~few], place[~few]))
+                heads = starts[part[starts] >= 0]
+                if len(heads):
+                    yield of(3, sig[heads], node[heads], place[heads])
+            if pairs:
+                low, high = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+                order = np.lexsort((low, high))
+                low, high = low[order], high[order]
+                new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])[: len(low)]
+                yield of(0, low[new], high[new])
+            if stars:
+                low, high, group = (np.concatenate([p[k] for p in stars]) for k in (0, 1, 2))
+                order = np.lexsort((group, low, high))
+                # of a node's pivots the least is met
+                first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])[: len(order)]]
+                yield of(2, low[first], high[first], part=group[first])
+            if wide:
+                yield of(1, *[np.concatenate([w[k] for w in wide]) for k in (0, 1, 2)])
 
         def flush(last: bool):
-            columns = [np.concatenate([rest[k], *[h[k] for h in held]]) for k in range(3)]
+            columns = [np.concatenate([rest[k], *[h[k] for h in held]]) for k in range(4)]
             yield from work(*columns, last)
 
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
             rows += batch.num_rows
             if rows >= BUFFER:
                 yield from flush(False)
@@ -288,7 +353,7 @@ def _meet_all(ratio: Ratio, nearest: bool):
 
     They can if the lists' places and the marks' distance leave room for the
     overlap; marks of sets that differ too much tell so without the sets. Rows
-    are (node, node, distance of marks); with ``nearest`` each node is given the
+    are (node, node, distance of marks, a number of the cell); with ``nearest`` each node is given the
     nearest of a cell only, once as a of its row. A cell holds one block of a list, or two that meet each other; its size is
     bounded by the blocks'.
     """
@@ -301,10 +366,7 @@ def _meet_all(ratio: Ratio, nearest: bool):
             grid = (label[i][:, None] != label[right][None, :]) & may_link(ratio, place[i][:, None], place[right][None, :])
             x, y = np.nonzero(grid)
             x, y = i[x], right[y]
-            far = np.empty(len(x), np.int64)
-            for j in range(0, len(x), 65_536):
-                p, q = x[j : j + 65_536], y[j : j + 65_536]
-                far[j : j + 65_536] = np.bitwise_count(mark[p] ^ mark[q]).sum(axis=1)
+            far = distances(mark, x, y)
             n, m = place[x] >> 32, place[y] >> 32
             fits = far <= n + m - 2 * ratio.overlap(n, m)
             x, y, far = x[fits], y[fits], far[fits]
@@ -324,16 +386,21 @@ def _meet_all(ratio: Ratio, nearest: bool):
             cuts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (cell_no[1:] != cell_no[:-1]), [True]])) if len(sig) else np.zeros(1, int)
             made = []
             for a, b in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1]):
-                made += cell(*[c[a:b] for c in columns[2:]])
+                number = int(mix(sig[a : a + 1].view(np.uint64) + _U(cell_no[a]))[0] >> _U(33))
+                made += [(*found, np.full(len(found[0]), number)) for found in cell(*[c[a:b] for c in columns[2:]])]
             kept = None if last or len(cuts) < 2 else [c[cuts[-2] :] for c in columns]
             if made:
-                all_ = np.unique(np.stack([np.concatenate([m[k] for m in made]) for k in range(3)]), axis=1)
-                return kept, _batch(a=all_[0], b=all_[1], far=all_[2])
+                a, b, far, part = (np.concatenate([m[k] for m in made]) for k in range(4))
+                order = np.lexsort((part, far, b, a))
+                new = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(order)]]
+                return kept, _batch(a=a[new], b=b[new], far=far[new], part=part[new].astype(np.int32))
             return kept, None
 
         for batch in batches:
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            new.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, MARK // 64))
+            marks = np.empty(batch.num_rows, object)
+            marks[:] = batch.column(6).to_pylist()
+            new.append(marks)
             columns = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
             rest, made = out(columns, False)
             if made is not None:
@@ -346,69 +413,168 @@ def _meet_all(ratio: Ratio, nearest: bool):
     return run
 
 
-def _slot(node):
-    return mix(np.asarray(node, np.int64).view(np.uint64)) & _U(BITS - 1)
+def _slot(key, bits: int):
+    return mix(np.asarray(key, np.int64).view(np.uint64)) & _U(bits - 1)
 
 
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of BITS bits over the nodes, so many kilobytes at any number of them."""
+def _filter_bits(keys: DataFrame, n: int) -> np.ndarray:
+    """A bitmap over n keys, of bounded size at any number of them."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_EACH - 1).bit_length()))
 
     def run(batches):
-        mine = np.zeros(BITS // 8, np.uint8)
+        mine = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            slot = _slot(batch.column(0).to_numpy(zero_copy_only=False))
+            slot = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
             np.bitwise_or.at(mine, (slot >> _U(3)).astype(np.int64), (1 << (slot & _U(7)).astype(np.uint8)).astype(np.uint8))
         words = mine.view(np.int64)
         at = np.flatnonzero(words)
         yield _batch(at=at.astype(np.int64), bits=words[at])
 
-    found = nodes.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+    found = keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def _texts(size: int, bits):
-    """(node, text) of the texts whose node the filter may hold, each node once a task."""
+def _held(bits):
+    """(key, text) of the rows whose key the filter may hold, each key once a task."""
 
     def run(batches):
-        shingler, seen, mine = Shingler(size), set(), bits.value
+        seen, mine = set(), bits.value
         for batch in batches:
-            nodes = np.array([node_of(s) if len(s) > 1 else 0 for s in shingler.sets(batch.column(0))], np.int64)
-            slot = _slot(nodes)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            slot = _slot(keys, len(mine) * 8)
             maybe = np.flatnonzero((mine[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1)
-            pick = []
-            for k in maybe.tolist():
-                if (x := int(nodes[k])) not in seen:
-                    seen.add(x)
-                    pick.append(k)
+            pick = [k for k in maybe.tolist() if not (keys[k] in seen or seen.add(keys[k]))]
             if pick:
-                yield _batch(node=nodes[pick], text=batch.column(0).take(pa.array(pick)))
+                yield batch.take(pa.array(pick, pa.int64()))
+            if len(seen) > COUNTED:
+                seen = set()
+
+    return run
+
+
+def _known(rows: DataFrame, nodes: DataFrame, *what: Column) -> DataFrame:
+    """What is asked of the given distinct nodes' rows, by node."""
+    return rows.where("node is not null").join(nodes.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted")).groupBy("node").agg(*what)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _asked(pairs: DataFrame, known: DataFrame, *names: str) -> DataFrame:
+    """What is known of a, once for each part with b null, and of b for each pair."""
+    firsts = pairs.select("a", "part").distinct().withColumn("b", F.lit(None).cast("long")).join(known, F.col("a") == F.col("node"))
+    return firsts.select("a", "part", "b", *names).unionByName(pairs.join(known, F.col("b") == F.col("node")).select("a", "part", "b", *names))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+
+def _near(ratio: Ratio):
+    """(a, b, part) of nodes whose marks leave room for a link, over rows (a, part, null, size, mark of a) and then (a, part, b, size, mark of b)."""
+
+    def run(batches):
+        pivot, size, mine = None, 0, b""
+        for batch in batches:
+            low, high, parts = [], [], []
+            for a, part, b, n, mark in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if b is None:
+                    pivot, size, mine = (a, part), n, mark
+                elif pivot != (a, part):
+                    raise RuntimeError("a pair without its pivot")
+                else:
+                    w = min(len(mine), len(mark))
+                    if int(np.bitwise_count(folded(mine, w) ^ folded(mark, w)).sum()) <= n + size - 2 * ratio.overlap(n, size):
+                        low.append(a)
+                        high.append(b)
+                        parts.append(part)
+            if low:
+                yield _batch(a=pa.array(low, pa.int64()), b=pa.array(high, pa.int64()), part=pa.array(parts, pa.int32()))
 
     return run
 
 
 def _verify(size: int, ratio: Ratio):
-    """(a, b) of rows (a, b, text, text) whose sets overlap enough."""
+    """(a, b) of linked nodes, over rows (a, part, null, text of a) and then (a, part, b, text of b)."""
 
     def run(batches):
-        shingler = Shingler(size)
+        shingler, pivot, mine = Shingler(size), None, np.empty(0, np.uint64)
         for batch in batches:
-            a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            ok = [len(np.intersect1d(x, y, assume_unique=True)) >= ratio.overlap(len(x), len(y)) for x, y in zip(shingler.sets(batch.column(2)), shingler.sets(batch.column(3)), strict=True)]
-            ok = np.array(ok, bool)
-            if ok.any():
-                yield _batch(a=a[ok], b=b[ok])
+            a, part, b = (batch.column(k).to_pylist() for k in range(3))
+            low, high = [], []
+            for k, s in enumerate(shingler.sets(batch.column(3))):
+                if b[k] is None:
+                    pivot, mine = (a[k], part[k]), s
+                elif pivot != (a[k], part[k]):
+                    raise RuntimeError("a pair without its pivot")
+                elif len(np.intersect1d(mine, s, assume_unique=True)) >= ratio.overlap(len(mine), len(s)):
+                    low.append(a[k])
+                    high.append(b[k])
+            if low:
+                yield _batch(a=pa.array(low, pa.int64()), b=pa.array(high, pa.int64()))
 
     return run
 
 
+def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, ratio: Ratio) -> DataFrame:
+    """The pairs (a, b, part) that link, from whole texts: a's goes once to each of its parts, b's once to each pair.
+    Other texts than these nodes' travel only if the filter takes them for one of these."""
+    keys = materialise(_known(rows, _ends(pairs), F.min("key").alias("nk")), "join-keys")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(keys.select("nk"), keys.count()))
+    asked = _asked(pairs, keys, "nk")
+    texts = docs.select("key", "text").mapInArrow(_held(bits), "key long, text string").groupBy("key").agg(F.first("text").alias("text"))
+    whole = asked.join(texts, F.col("nk") == F.col("key")).select("a", "part", "b", "text")
+    return materialise(_dealt(whole).mapInArrow(_verify(size, ratio), "a long, b long"), "join-links")
+
+
+def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of these edges and the least node they reach, but for the least nodes themselves."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, up = at[: len(u)], at[len(u) :], np.arange(len(names))
+    while True:
+        x, y = up[u], up[v]
+        apart = x != y
+        if not apart.any():
+            break
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up != up[up]).any():
+            up = up[up]
+    low = np.flatnonzero(up != np.arange(len(up)))
+    return names[low], names[up[low]]
+
+
+def _contract(batches):
+    """Edges contracted by HELD of them, and those of a task again as long as that makes them much fewer."""
+    held, rows = [], 0
+
+    def out(parts):
+        return contract(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+
+    for batch in batches:
+        held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+        rows += batch.num_rows
+        if rows > HELD:
+            held = [out(held)]
+            rows = len(held[0][0])
+            if rows > HELD // 2:
+                yield _batch(u=held[0][0], v=held[0][1])
+                held, rows = [], 0
+    if rows:
+        u, v = out(held)
+        yield _batch(u=u, v=v)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): each linked node and the least node reachable from it.
+    """(node, label) of links (a, b): each linked node and the least node reachable from it.
 
-    Alternating stars: every node's larger neighbours, then its smaller ones,
-    are hung on its least neighbour, until nothing changes. No neighbourhood is
-    gathered: least neighbours are aggregates, and the rows join them.
+    Edges are contracted within tasks, then alternating stars: every node's
+    larger neighbours, then its smaller ones, are hung on its least neighbour,
+    until all edges are stars. No neighbourhood is gathered: least neighbours
+    are aggregates, and the rows join them.
     """
 
     def hung(e: DataFrame, larger: bool) -> DataFrame:
@@ -423,44 +589,46 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             out = rows.select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(rows.select(F.col("x").alias("u"), F.col("m").alias("v")))
         return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether every node hangs on one node, and none hangs on a node that hangs."""
+        none = F.lit(None).cast("long")
+        ends = e.select(F.col("u").alias("x"), F.col("v").alias("on"), F.lit(0).alias("top")).unionByName(e.select(F.col("v").alias("x"), none.alias("on"), F.lit(1).alias("top")))
+        state = ends.groupBy("x").agg(F.min("on").alias("low"), F.max("on").alias("high"), F.max("top").alias("top"))
+        return state.where("low <> high or (low is not null and top = 1)").isEmpty()
 
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "join-edges")
-    was = mark(edges)
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     for _ in range(rounds):
-        new = materialise(hung(hung(edges, True), False), "join-edges")
-        drop_table(edges)
-        edges, now = new, mark(new)
-        if now == was:
+        edges = materialise(edges.mapInArrow(_contract, "u long, v long"), "join-edges")
+        if stars(edges):
             break
-        was = now
+        edges = hung(hung(edges, True), False)
     else:
         raise RuntimeError("components did not settle")
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, size: int, ratio: Ratio) -> DataFrame:
-    """The pairs that link, from whole texts; texts travel only if the candidates' filter may hold them."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter_bits(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    texts = materialise(docs.select("text").mapInArrow(_texts(size, bits), "node long, text string").groupBy("node").agg(F.first("text").alias("text")), "join-texts")
-    side = lambda name: texts.select(F.col("node").alias(f"n{name}"), F.col("text").alias(f"t{name}"))
-    rows = pairs.join(side("a"), F.col("a") == F.col("na")).join(side("b"), F.col("b") == F.col("nb")).select("a", "b", "ta", "tb")
-    out = materialise(rows.mapInArrow(_verify(size, ratio), "a long, b long"), "join-links")
-    drop_table(texts)
-    return out
+#: Parts that a list's rows are dealt to where too many lists are apart to broadcast them.
+SALTS = 32
 
 
-def _apart(wide: DataFrame, labels: DataFrame, marks: DataFrame, ratio: Ratio, nearest: bool) -> DataFrame:
-    """(a, b): pairs of different components in the same list that can still link; with ``nearest`` one for each node."""
+def _apart(wide: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, place, label, mine, blocks): rows of the lists that hold members of different components."""
     named = wide.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("sig", "node", "place", F.coalesce("label", "node").alias("label"))
-    apart = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select(F.col("sig").alias("s"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    again = named.join(apart, F.col("sig") == F.col("s")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    again = materialise(again.select("sig", "node", "place", "label", "mine", "blocks"), "join-apart")
-    needed = marks.join(again.select("node").distinct(), F.col("mn") == F.col("node"), "left_semi").groupBy("mn").agg(F.first("mark").alias("mark"))
-    marked = again.join(needed, F.col("node") == F.col("mn"))
+    lists = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+    lists = materialise(lists.select(F.col("sig").alias("s"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "join-lists")
+    n = lists.count()
+    if n <= 1_000_000:
+        again = named.join(F.broadcast(lists), F.col("sig") == F.col("s"))
+    else:
+        lists = lists.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        again = named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lists, (F.col("sig") == F.col("s")) & (F.col("salt") == F.col("t")))
+    return again.select("sig", "node", "place", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"), "blocks")
+
+
+def _met(again: DataFrame, marks: DataFrame, ratio: Ratio, nearest: bool) -> DataFrame:
+    """(a, b, part): pairs of different labels in the same list that can still link; with ``nearest`` one for each node."""
+    marked = again.join(marks.select(F.col("node").alias("mn"), "mark"), F.col("node") == F.col("mn"))
     cells = marked.select("sig", "node", "place", "label", "mark", "mine", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select(
         "sig",
@@ -471,37 +639,102 @@ def _apart(wide: DataFrame, labels: DataFrame, marks: DataFrame, ratio: Ratio, n
         "label",
         "mark",
     )
-    met = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "side", "node").mapInArrow(_meet_all(ratio, nearest), "a long, b long, far long")
+    met = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "side", "node").mapInArrow(_meet_all(ratio, nearest), "a long, b long, far long, part int")
     if nearest:
-        met = met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = met.groupBy("a").agg(F.min(F.struct("far", "b", "part")).alias("s")).select("a", "s.b", "s.part")
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("part").alias("part"))
+
+
+def _heaviest(counts: DataFrame, most: int) -> list[tuple[int, int]]:
+    """(a, n) of the largest counts, at most ``most`` of them: those above the step of n from which on there are no more."""
+    step = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    steps = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    total, least = 0, None
+    for k, n in steps:
+        total += n
+        if total > most:
+            break
+        least = k
+    return [] if least is None else [(r["a"], r["n"]) for r in counts.where(step >= least).collect()]
 
 
-def _meetings(docs: DataFrame, size: int, ratio: Ratio, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
-    """(doc_id and text, rows with their nodes, meetings, nodes' marks, postings of long lists) of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _meetings(docs: DataFrame, size: int, ratio: Ratio) -> tuple[DataFrame, ...]:
+    """(rows with their nodes, meetings) of docs (doc_id, key, text)."""
     profile = materialise(docs.mapInArrow(_profile(size), PROFILE), "join-profile")
-    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
-    counts = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
-    heavy = [(r["a"], r["n"]) for r in counts.where("n >= 16").orderBy(F.desc("n"), "a").limit(HEAVY).collect()]
+    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "key", F.col("b").alias("n_shingles"), F.col("c").alias("node"), "mark")
+    rows._pagegauge_path = profile._pagegauge_path
+    counts = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where("n >= 16")
+    heavy = _heaviest(materialise(counts, "join-counts"), HEAVY)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     limit = boundary(1 + sum(c * c for _, c in heavy) / max(1, total), ratio)
     postings = docs.select("text").mapInArrow(_postings(size, heavy, limit, ratio), POSTINGS)
-    met = materialise(postings.repartition("sig").sortWithinPartitions("sig", "node", "place").mapInArrow(_meet_pivots(ratio), MEETINGS), "join-meetings")
-    marks = profile.where("kind = 0 and mark is not null").select(F.col("c").alias("mn"), "mark")
-    wide = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("c").alias("place"))
-    return docs, rows, met, marks, wide
+
+    def lists(postings: DataFrame, name: str) -> DataFrame:
+        by = postings.repartition("sig", "part").sortWithinPartitions("sig", "part", "node", "place")
+        return materialise(by.mapInArrow(_meet_pivots(ratio), MEETINGS), name)
+
+    met = lists(postings, "join-meetings")
+    # the pivots of a list's parts meet as a list of their own
+    pivots = met.where("kind = 3").select(F.col("a").alias("sig"), F.lit(-1).alias("part"), F.col("b").alias("node"), F.col("c").alias("place"))
+    if any(c > PART for _, c in heavy):
+        met = met.where("kind <> 3").unionByName(lists(pivots, "join-pivots").where("kind in (0, 2)"))
+    return rows, met
+
+
+def _marks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, mark) of the given distinct nodes."""
+    return _known(rows.where("mark is not null"), nodes, F.first("n_shingles").alias("n"), F.first("mark").alias("mark"))
+
+
+def _wide(met: DataFrame) -> DataFrame:
+    return met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("c").alias("place"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(text).alias("key"), text.alias("text"))
+
+
+def key_of(text: Column) -> Column:
+    """A text's key, by which rows and their texts are told: a null text has an empty one's."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _labels(docs: DataFrame, size: int, ratio: Ratio) -> tuple[DataFrame, DataFrame]:
+    """(rows with their nodes, labels of linked nodes) of docs (doc_id, key, text), both written."""
+    with scratch(docs.sparkSession) as keep:
+        rows, met = _meetings(docs, size, ratio)
+        keep(rows)
+        star = met.where("kind = 2").groupBy("b").agg(F.min(F.struct("a", "part")).alias("s")).select("s.a", "b", "s.part")
+        pairs = met.where("kind = 0").select("a", "b", "part").unionByName(star).groupBy("a", "b").agg(F.min("part").alias("part"))
+        pairs = materialise(pairs, "join-pairs")
+        marks = _marks(rows, _ends(pairs))
+        near = materialise(_dealt(_asked(pairs, marks, "n", "mark")).mapInArrow(_near(ratio), "a long, b long, part int"), "join-near")
+        labels = materialise(components(_linked(docs, rows, near, size, ratio)), "join-labels")
+        # lists whose members are still apart: each member meets its nearest, then all meet all
+        for nearest in (True, False):
+            again = materialise(_apart(_wide(met), labels), "join-apart")
+            if again.isEmpty():
+                break
+            more = materialise(_met(again, _marks(rows, again.select("node").distinct()), ratio, nearest), "join-pairs")
+            found = _linked(docs, rows, more, size, ratio)
+            if not found.isEmpty():
+                known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+                labels = materialise(components(known.unionByName(found)), "join-labels")
+        keep(labels)
+    return rows, labels
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and node of each row, from the labels of linked nodes."""
+    """doc_id, key, n_shingles, component_id, node and label of each row, from the labels of linked nodes."""
     # the least id of each node, then of each component; nodes without links are their own
     least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     known = least.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", F.coalesce("label", "node").alias("label"), F.col("ln").isNotNull().alias("linked"), "least", "copies")
-    whole = known.groupBy("label").agg(F.min("least").alias("component"))
     known = known.where("linked or copies > 1")
-    final = known.join(whole.withColumnRenamed("label", "wl"), F.col("label") == F.col("wl")).select(F.col("node").alias("fn"), "component")
-    return rows.join(final, F.col("node") == F.col("fn"), "left").select("doc_id", "n_shingles", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("component")).alias("component_id"))
+    whole = known.groupBy("label").agg(F.min("least").alias("component"))
+    final = known.join(whole.withColumnRenamed("label", "wl"), F.col("label") == F.col("wl")).select(F.col("node").alias("fn"), "label", "component")
+    named = rows.join(final, F.col("node") == F.col("fn"), "left")
+    return named.select("doc_id", "key", "n_shingles", "node", "label", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -513,23 +746,7 @@ def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str
     Repeated rows share a component. Null ids have a row each and count for
     no component's least id. An empty table gives an empty result.
     """
-    docs, rows, met, marks, wide = _meetings(docs, size, ratio, id_col, text_col)
-    star = met.where("kind = 2").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    seen = materialise(met.where("kind = 0").select("a", "b").unionByName(star).distinct(), "join-pairs")
-    links = _linked(docs, seen, size, ratio)
-    labels = materialise(components(links), "join-labels")
-    # lists whose members are still apart: each member meets its nearest, then all meet all
-    for nearest in (True, False):
-        more = _apart(wide, labels, marks, ratio, nearest)
-        more = more.join(seen.select(F.col("a").alias("pa"), F.col("b").alias("pb")), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
-        more = materialise(more, "join-pairs-again")
-        if more.isEmpty():
-            continue
-        seen, found = seen.unionByName(more), _linked(docs, more, size, ratio)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = materialise(components(links), "join-labels")
-    return _named(rows, labels).drop("node")
+    return _named(*_labels(_keyed(docs, id_col, text_col), size, ratio)).select("doc_id", "n_shingles", "component_id")
 
 
 def link_counts(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -539,21 +756,45 @@ def link_counts(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col:
     that of all links: up to the square of a group's size where classes() costs
     about the size.
     """
-    docs, rows, met, marks, wide = _meetings(docs, size, ratio, id_col, text_col)
-    alone = docs.sparkSession.createDataFrame([], "node long, label long")
-    pairs = met.where("kind = 0").select("a", "b").unionByName(_apart(wide, alone, marks, ratio, False)).distinct()
-    links = _linked(docs, materialise(pairs, "join-pairs"), size, ratio)
+    docs = _keyed(docs, id_col, text_col)
+    with scratch(docs.sparkSession) as keep:
+        rows, met = _meetings(docs, size, ratio)
+        keep(rows)
+        again = materialise(_apart(_wide(met), docs.sparkSession.createDataFrame([], "node long, label long")), "join-apart")
+        few = met.where("kind = 0").select("a", "b", "part")
+        pairs = few.unionByName(_met(again, _marks(rows, again.select("node").distinct()), ratio, False)).groupBy("a", "b").agg(F.min("part").alias("part"))
+        links = keep(_linked(docs, rows, materialise(pairs, "join-pairs"), size, ratio))
+        labels = keep(materialise(components(links), "join-labels"))
     copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(copies, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("near"))
     own = copies.join(near, F.col("node") == F.col("a"), "left").select(F.col("node").alias("cn"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
-    out = _named(rows, materialise(components(links), "join-labels")).join(own, F.col("node") == F.col("cn"), "left")
+    out = _named(rows, labels).join(own, F.col("node") == F.col("cn"), "left")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the near copies: of each component the rows with its least id stay, one of those that repeat."""
+def keep_one(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: one row of each component stays, that of the least id, of equal ids that of the least
+    text key; a null id comes last.
+
+    Rows equal in id and text are told by their other columns, and one stays.
+    Rows without words belong to no component and all stay. An empty table
+    gives an empty result. Any further column passes, whatever its name.
+    """
     names = docs.columns
-    found = classes(docs, **options).where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.select(*names).dropDuplicates(["doc_id", "text"])
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        rows, labels = _labels(_keyed(docs, id_col, text_col), size, ratio)
+        named = _named(rows, labels).where("label is not null")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+        first = named.groupBy("label").agg(F.min(order).alias("first")).select(F.col("label").alias("fl"), "first")
+        fates = named.join(first, F.col("label") == F.col("fl")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max((order == F.col("first")).cast("int")).alias("stays"))
+        # rows not named here are their component's only one
+        fates = keep(materialise(fates.where("stays = 0 or n > 1").select("doc_id", "key", "stays"), "join-fates"))
+    key, f_id, f_key, stays, row, rank = unused(names, "key", "fate_id", "fate_key", "stays", "row", "rank")
+    fates = joinable(fates).select(F.col("doc_id").alias(f_id), F.col("key").alias(f_key), F.col("stays").alias(stays))
+    keyed = docs.withColumn(key, key_of(F.col(text_col).cast("string")))
+    told = keyed.join(fates, F.col(id_col).cast("long").eqNullSafe(F.col(f_id)) & (F.col(key) == F.col(f_key)), "left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    several = told.where(F.col(stays) == 1).groupBy(f_id, f_key).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return told.where(F.col(stays).isNull()).select(*[f"`{c}`" for c in names]).unionByName(several.select(*[F.col(f"{row}.`{c}`") for c in names]))

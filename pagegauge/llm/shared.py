@@ -10,7 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; on a local master one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagegauge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -45,21 +48,73 @@ def discard(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
+#: Bytes of an Arrow batch while a table is written, but for a single longer row; a batch is held on both sides.
+BATCH_BYTES = 4 << 20
+#: Paths of tables written inside the scratch blocks that are open, the innermost last.
+_open: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there and a lost executor loses nothing.
+
+    The table goes when the scratch block it was written in ends, or with the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not keep:
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, was)
+    if _open:
+        _open[-1].append(path)
+    else:
         atexit.register(_discard_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagegauge_path = path
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing reads it any more."""
-    discard(df.sparkSession, df._pagegauge_path)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose materialised tables go when it ends, but for those given to the function it yields."""
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._pagegauge_path)
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for path in made:
+            if path not in kept:
+                discard(spark, path)
+            elif _open:
+                _open[-1].append(path)
+            else:
+                atexit.register(_discard_at_exit, spark, path)
+
+
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as make it differ from all names, letters' case aside."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def joinable(df: DataFrame, rows: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """df of narrow rows, marked for broadcast if it has at most ``most`` of them; it should be materialised."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
 def _discard_at_exit(spark: SparkSession, path: str) -> None:

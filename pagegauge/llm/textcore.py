@@ -2,20 +2,25 @@
 
 Each word's hash is a polynomial over its bytes modulo 2**64, from running sums
 over the whole buffer, mixed and salted with the word's length. No Python
-object is made for a word. Buffers are worked through in pieces of about PIECE
+object is made for a word, but for those of more than LONG bytes: such
+polynomials can be made to collide from some thousand bytes on, so long words
+are digested one by one. Buffers are worked through in pieces of about PIECE
 bytes, cut between words, so that memory follows the piece and not the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
-#: Texts whose words are held at a time.
-ROWS = 1_024
+PIECE = 1 << 18
+#: Texts whose words are held at a time, and their bytes, but for a single text of more.
+ROWS, BYTES = 1_024, 1 << 20
+#: Bytes of a word from which it is digested by itself.
+LONG = 128
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, and 5 modulo 8, so that its powers differ as long as can be
 SPACES = np.zeros(256, bool)
@@ -47,7 +52,8 @@ class WordHasher:
     def __init__(self, fold: bool = True, seed: int = 1, between: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> None:
         self.between, self.prefixes = between, prefixes
         values = mix(np.arange(1, 257, dtype=np.uint64) + _U(seed) * _U(0x632BE59BD9B4E019))
-        self.values = values[_lower()] if fold else values
+        self.fold = _lower() if fold else np.arange(256, dtype=np.uint8)
+        self.values = values[self.fold]
         self._powers(PIECE + 4096)
 
     def _powers(self, n: int) -> None:
@@ -65,6 +71,8 @@ class WordHasher:
         down, part = self.down[starts], _U(0xD6E8FEB86659FD93)
         out = np.empty((len(starts), 1 + len(self.prefixes)), np.uint64)
         out[:, 0] = mix((sums[ends] - sums[starts]) * down + (ends - starts).astype(np.uint64) * part)
+        for k in np.flatnonzero(ends - starts > LONG):
+            out[k, 0] = int.from_bytes(hashlib.blake2b(self.fold[data[starts[k] : ends[k]]].tobytes(), digest_size=8).digest(), "little")
         for k, n in enumerate(self.prefixes, 1):
             # a beginning is told from a whole word by the odd salt
             begun = mix((sums[np.minimum(starts + n, ends)] - sums[starts]) * down + _U((n * 0xD6E8FEB86659FD93 + 1) & (2**64 - 1)))
@@ -117,6 +125,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(column: pa.Array) -> Iterator[pa.Array]:
+    """The column in slices of at most ROWS texts and BYTES bytes; a longer text is a slice of its own."""
+    _, offsets = utf8(column)
+    at = 0
+    while at < len(column):
+        end = int(np.searchsorted(offsets, offsets[at] + BYTES, side="right")) - 1
+        end = min(max(end, at + 1), at + ROWS, len(column))
+        yield column[at:end]
+        at = end
+
+
 _WEIGHTS = mix(np.arange(101, 133, dtype=np.uint64)) | _U(1)
 
 
@@ -127,9 +146,9 @@ class Shingler:
         self.size, self.hasher = size, WordHasher()
 
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """For each text its distinct shingles' hashes, ascending. ROWS texts are in work at a time."""
-        for k in range(0, len(column), ROWS):
-            yield from self._sets(column[k : k + ROWS])
+        """For each text its distinct shingles' hashes, ascending, a piece of the column at a time."""
+        for part in pieces(column):
+            yield from self._sets(part)
 
     def _sets(self, column: pa.Array) -> Iterator[np.ndarray]:
         data, offsets = utf8(column)

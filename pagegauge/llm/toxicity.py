@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import MARKS, ROWS, Shingler, WordHasher, utf8
+from .textcore import MARKS, Shingler, WordHasher, pieces, utf8
 
 SLOTS = 18
 #: Probability of the last category from which a document is rejected.
@@ -76,7 +76,7 @@ class Chain:
         hasher = _hasher()
 
         def score(texts: pa.Array) -> np.ndarray:
-            parts = [some(texts[k : k + ROWS]) for k in range(0, len(texts), ROWS)]
+            parts = [some(part) for part in pieces(texts)]
             return np.concatenate(parts) if parts else np.zeros((0, len(self.links)))
 
         def some(texts: pa.Array) -> np.ndarray:
@@ -176,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
         hasher, shingler = _hasher(), Shingler()
         for batch in batches:
             found = []
-            for k in range(0, batch.num_rows, ROWS):
-                words, first = hasher.words(*utf8(batch.column(2)[k : k + ROWS]))
+            for part in pieces(batch.column(2)):
+                words, first = hasher.words(*utf8(part))
                 at = slots(words)
                 found += [np.unique(at[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:])]
             least = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingler.sets(batch.column(2))]
