@@ -1,9 +1,11 @@
 """Mixing sources to target weights: weighted random order within each source, cut at token budgets.
 
 All steps are DataFrame expressions. Sizes and keys are materialised once; budgets
-and prefix sums work on totals by (source, key bucket), and only the one bucket
-of each source that its budget cuts is put in order row by row, so no source,
-however large, is sorted in one task.
+and prefix sums work on totals by (source, key bucket), then by fine buckets
+within the one that a source's budget cuts. Only the one fine bucket that it
+cuts, about one row in buckets * buckets, is put in order row by row, so no
+source, however large, is sorted or gathered in one task. The sources
+themselves, a row each, are ranked in one.
 """
 
 from __future__ import annotations
@@ -11,18 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialise
+from .shared import WORD, materialise, unused
 
 #: Weights of the sources by rank, repeating.
 WEIGHTS = (3, 1, 2)
 
 
 def sized(docs: DataFrame, quality: DataFrame | None, seed: int, buckets: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, key and bucket of each row.
+    """doc_id, source, size, key, bucket and fine bucket of each row.
 
     The key is exponential with the quality weight as its rate: -ln(u) / weight,
     u a hash of id, text and seed. Ascending keys are the order of weighted
-    sampling without replacement. The bucket cuts exp(-key) into equal parts.
+    sampling without replacement. The bucket cuts exp(-key) into equal parts,
+    the fine bucket each of these again.
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -36,7 +39,8 @@ def sized(docs: DataFrame, quality: DataFrame | None, seed: int, buckets: int, i
         base = base.join(quality.select(F.col("doc_id").alias("__q"), F.col("weight").alias("weight")), F.col("doc_id") == F.col("__q"), "left").withColumn("weight", F.coalesce("weight", F.lit(0.75)))
     u = (F.shiftrightunsigned("h", 11).cast("double") + F.lit(1.0)) / F.lit(float(2**53 + 1))
     base = base.select("doc_id", "source", "size", "h", (-F.log(u) / F.col("weight")).alias("key"))
-    return base.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+    fine = F.floor((1 - F.exp(-F.col("key"))) * (buckets * buckets)).cast("long")
+    return base.withColumn("fine", fine).withColumn("bucket", F.floor(F.col("fine") / buckets).cast("long"))
 
 
 def quality_weights(labels: DataFrame, good: float = 1.0, bad: float = 0.5) -> DataFrame:
@@ -70,36 +74,53 @@ def targets(totals: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFra
     return levels.select("source", F.col("__s").cast("long").alias("source_size"), F.least(F.col("__cap"), F.col("__w") * F.coalesce(level, F.lit(float("inf")))).alias("target"))
 
 
-def same(a: Column | str, b: Column | str) -> Column:
-    return (F.col(a) if isinstance(a, str) else a).eqNullSafe(F.col(b) if isinstance(b, str) else b)
+#: Parts that a source's rows are dealt to where there are too many sources to broadcast their plan.
+SALTS = 64
+
+
+def _planned(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """rows (source, bucket, ...) with their source's plan (ps, ...) of n rows; no source is gathered in one task."""
+    if n <= 1_000_000:
+        return rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
+    dealt = plan.withColumn("ts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod("bucket", F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, F.col("source").eqNullSafe(F.col("ps")) & (F.col("salt") == F.col("ts"))).drop("ps", "ts", "salt")
+
+
+def _cut(cells: DataFrame) -> DataFrame:
+    """(cs, cut, before) of cells (source, bucket, cell, rest, from): the bucket in which a source's rest ends, and the words before it."""
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.withColumn("before", F.col("from") + F.coalesce(F.sum("cell").over(earlier), F.lit(0)))
+    inside = sums.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("cell")))
+    return inside.groupBy(F.col("source").alias("cs")).agg(F.min("bucket").alias("cut"), F.min("before").alias("before"))
 
 
 def _taken(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
     """mix() with h, the hash of id, text and seed."""
     rows = materialise(sized(docs, None if labels is None else quality_weights(labels), seed, buckets), "mix-sizes")
-    cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
-    totals = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
-    aims = targets(totals, share, most)
+    cells = materialise(rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell")), "mix-cells")
+    aims = targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    aims = aims.select("source", "source_size", "target", epochs.alias("epochs")).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cells.select(F.col("source").alias("__cs"), F.col("bucket").alias("__cb"), "cell", F.coalesce(F.sum("cell").over(before), F.lit(0)).alias("before"))
-    # by source: the bucket that the rest cuts and what lies before it
-    cut = (
-        cuts.join(aims.select(F.col("source").alias("__as"), "rest"), F.col("__cs").eqNullSafe(F.col("__as")))
-        .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("cell")))
-        .groupBy(F.col("__cs").alias("__s2"))
-        .agg(F.min("__cb").alias("cut"), F.min("before").alias("before"))
-    )
-    plan = aims.join(cut, F.col("source").eqNullSafe(F.col("__s2")), "left").select(F.col("source").alias("__ps"), "source_size", "target", "epochs", "rest", "cut", "before")
-    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("__ps"))).drop("__ps")
-    whole = F.when(F.col("bucket") < F.coalesce("cut", F.lit(2**30)), F.col("size")).otherwise(F.lit(0).cast("long"))
-    ends = placed.where(F.coalesce(F.col("bucket") != F.col("cut"), F.lit(True))).select("doc_id", "size", "source", "source_size", "target", "epochs", "h", (F.col("epochs") * F.col("size") + F.when(F.col("rest") > 0, whole).otherwise(F.lit(0))).alias("taken"))
+    aims = aims.select(F.col("source").alias("ps"), "source_size", "target", epochs.alias("epochs")).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    aims = materialise(aims, "mix-aims")
+    n = aims.count()
+    # the bucket that the rest cuts, then the fine bucket within it: only that one is put in order row by row
+    first = _cut(_planned(cells, aims, n).withColumn("from", F.lit(0).cast("long")))
+    plan = materialise(aims.join(first, F.col("ps").eqNullSafe(F.col("cs")), "left").drop("cs"), "mix-plan")
+    inside = _planned(rows, plan.where("cut is not null"), n).where("bucket = cut")
+    finer = inside.groupBy("source", F.col("fine").alias("bucket")).agg(F.sum("size").alias("cell"), F.first("rest").alias("rest"), F.first("before").alias("from"))
+    second = _cut(finer).select("cs", F.col("cut").alias("fine_cut"), F.col("before").alias("fine_before"))
+    plan = materialise(plan.drop("before").join(second, F.col("ps").eqNullSafe(F.col("cs")), "left").drop("cs"), "mix-plan")
+    placed = _planned(rows, plan, n)
+    names = ("doc_id", "size", "source", "source_size", "target", "epochs", "h")
+    # without a cut, the rest is all of the source or nothing
+    whole = F.when(F.col("fine") < F.coalesce("fine_cut", F.lit(2**62)), F.col("size")).otherwise(F.lit(0).cast("long"))
+    at_cut = F.coalesce(F.col("fine") == F.col("fine_cut"), F.lit(False))
+    ends = placed.where(~at_cut).select(*names, (F.col("epochs") * F.col("size") + F.when(F.col("rest") > 0, whole).otherwise(F.lit(0))).alias("taken"))
     ordered = Window.partitionBy("source").orderBy("key", "h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    middle = placed.where(F.col("bucket") == F.col("cut")).withColumn("__b", F.col("before") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("__b")))
-    middle = middle.select("doc_id", "size", "source", "source_size", "target", "epochs", "h", (F.col("epochs") * F.col("size") + part).alias("taken"))
-    return ends.unionByName(middle)
+    middle = placed.where(at_cut).withColumn("b", F.col("fine_before") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("b")))
+    return ends.unionByName(middle.select(*names, (F.col("epochs") * F.col("size") + part).alias("taken")))
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 1024) -> DataFrame:
@@ -118,17 +139,23 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5,
     """The rows of docs as often as mix() takes them; one taken in part comes once more, whole.
 
     Rows of size 0 come once for every complete epoch of their source, at least
-    once. Rows that are equal in id, text and source share their copies.
+    once. Rows that are equal in id, text and source share their copies, in the
+    order of their other columns. Any further column passes, whatever its name.
     """
     names = docs.columns
+    quoted = [f"`{c}`" for c in names]
     taken = _taken(docs, labels, share, most, seed, buckets)
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.greatest(F.col("epochs"), F.lit(1)))
-    taken = taken.groupBy(F.col("h").alias("__h"), F.col("source").alias("__s")).agg(F.sum(copies).cast("long").alias("__n"), F.count(F.lit(1)).alias("__rows"))
-    keyed = docs.withColumn("__k", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    joined = keyed.join(taken, (F.col("__k") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s")))
-    # equal rows: each takes the mean, rounded by its place; a place is only needed where rows repeat
-    alone = joined.where("__rows = 1").withColumn("__c", F.col("__n"))
-    place = F.row_number().over(Window.partitionBy("__k", "__s").orderBy(F.lit(0)))
-    several = joined.where("__rows > 1").withColumn("__p", place).withColumn("__c", F.floor(F.col("__n") * F.col("__p") / F.col("__rows")) - F.floor(F.col("__n") * (F.col("__p") - 1) / F.col("__rows")))
-    rows = alone.select(*names, "__c").unionByName(several.select(*names, "__c")).where("__c > 0")
-    return rows.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*names)
+    key, th, ts, n, equal, row, told, alike, upto, times = unused(names, "key", "th", "ts", "n", "equal", "row", "told", "alike", "upto", "times")
+    taken = taken.groupBy(F.col("h").alias(th), F.col("source").alias(ts)).agg(F.sum(copies).cast("long").alias(n), F.count(F.lit(1)).alias(equal))
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    joined = keyed.join(taken, (F.col(key) == F.col(th)) & F.col("source").eqNullSafe(F.col(ts)))
+    alone = joined.where(F.col(equal) == 1).select(*quoted, F.col(n).alias(times))
+    # equal rows are counted by their other columns first, so that a row's million copies are one row; sums of counts part the copies
+    whole = F.struct(*quoted)
+    several = joined.where(F.col(equal) > 1).groupBy(th, ts, n, equal, F.to_json(whole).alias(told)).agg(F.first(whole).alias(row), F.count(F.lit(1)).alias(alike))
+    several = several.withColumn(upto, F.sum(alike).over(Window.partitionBy(th, ts).orderBy(told)))
+    share_of = lambda c: F.floor(F.col(n) * c / F.col(equal))
+    several = several.select(*[F.col(f"{row}.`{c}`").alias(c) for c in names], (share_of(F.col(upto)) - share_of(F.col(upto) - F.col(alike))).alias(times))
+    rows = alone.unionByName(several).where(F.col(times) > 0)
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*quoted)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, let
+from .shared import WORD, let, materialise, sampled
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -208,22 +208,19 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_te
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = 20_000, **options) -> DecisionList:
     """A decision list from labelled statistics (label 0: reject).
 
-    Reads the first ``sample_rows`` labelled rows by hash of the id, a bound
-    that keeps what reaches the driver the same at any corpus size. Null labels
-    are left out, ids with more than one label count with their least. Without
-    labelled rows the list is empty and keeps everything.
+    Reads at most ``sample_rows`` labelled ids, chosen by hash, and of their
+    distinct rows as many again: a bound that keeps what reaches the driver the
+    same at any corpus size. Null labels are left out, ids with more than one
+    label count with their least. Without labelled rows the list is empty and
+    keeps everything.
     """
     features = [*RATES, "n_words", "n_lines"]
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y"))
-    picked = (
-        stats.select(F.col(id_col).alias("__k"), *[F.col(c).cast("double").alias(c) for c in ("n_words", "n_lines")], *rates())
-        .join(known, F.col("__k") == F.col("__id"))
-        .orderBy(F.xxhash64("__k"), "__k", *features)
-        .limit(sample_rows)
-        .select("__y", *features)
-    )
-    rows = picked.collect()
-    y = np.array([r["__y"] == 0 for r in rows], bool)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("label"))
+    known = materialise(sampled(materialise(known, "quality-labels"), sample_rows, "label_id"), "quality-sample")
+    numbers = stats.select(F.col(id_col).alias("row_id"), *[F.col(c).cast("double").alias(c) for c in ("n_words", "n_lines")], *rates())
+    met = numbers.join(F.broadcast(known), F.col("row_id") == F.col("label_id")).select("row_id", "label", *features).distinct()
+    rows = sampled(materialise(met, "quality-rows"), sample_rows, "row_id", *features).orderBy(F.xxhash64("row_id"), "row_id", *features).collect()
+    y = np.array([r["label"] == 0 for r in rows], bool)
     return learn({c: np.array([r[c] for r in rows], float) for c in features}, y, **options)
 
 
@@ -232,7 +229,11 @@ def base_failed() -> Column:
 
 
 def judge(stats: DataFrame, rules: DecisionList, id_col: str = "doc_id") -> DataFrame:
-    """stats with base_failed, kept (false if base_failed, else the list's verdict) and rule_number."""
+    """stats with base_failed, kept (false if base_failed, else the list's verdict) and rule_number.
+
+    Every row has a verdict, repeated ones the same, null ids too; an empty
+    list of rules keeps what does not fail, and an empty table stays empty.
+    """
     names = stats.columns
     wide = stats.select("*", *rates())
     return wide.select(*names, base_failed().alias("base_failed"), (~base_failed() & rules.verdict()).alias("kept"), rules.rule_number().alias("rule_number"))

@@ -7,8 +7,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import bpe, chat, html_text, media, mixing, ngram_join, quality_rules, secrets, toxicity, urls
 from .shared import materialise, table
 
@@ -77,7 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
-        "pipeline": corpus_pipeline.run,
     }
 
 

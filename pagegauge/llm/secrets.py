@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import joinable, let, materialise, unused
 
 #: Base kinds in order: name -> (pattern, group that is the value, least length of it).
 BASE = {
@@ -122,20 +122,30 @@ def report(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """docs with every span of scan() replaced by mark in text, n_chars counted anew; no row is dropped.
 
-    Spans that overlap become one mark. Rows without a span pass as they are.
+    Spans that overlap become one mark. Rows without a span pass as they are,
+    and so does any further column, whatever its name.
     """
     names = docs.columns
-    found = scan(docs, **options).where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("hits").alias("__hits"))
-    found = found.groupBy("__id", "__key").agg(F.first("__hits").alias("__hits"))
-    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, h: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(h["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.when(h["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
-
-    cleaned = F.aggregate("__hits", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("__hits").isNotNull(), cleaned).otherwise(F.col("text"))
-    out = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in names])
-    return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in names]) if "n_chars" in names else out
+    key, id_, key_, hits_ = unused(names, "key", "hit_id", "hit_key", "hits")
+    found = scan(docs, **options).where(F.size("hits") > 0).groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key_)).agg(F.first("hits").alias(hits_))
+    found = joinable(materialise(found, "secret-found"), most=100_000)
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key_)), "left")
+    # overlapping spans become one; a text's pieces are cut by place and joined once
+    merged = F.aggregate(
+        hits_,
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda acc, h: F.when(
+            (F.size(acc) > 0) & (h["start"] < F.element_at(acc, -1)["end"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], h["end"]).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(F.struct(h["start"].alias("start"), h["end"].alias("end"))))),
+    )
+
+    def pieces(spans: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(spans, k - 1)["end"]).otherwise(F.lit(0))
+        gaps = F.transform(spans, lambda x, k: F.substring(F.col("text"), before(k) + 1, x["start"] - before(k)))
+        return F.array_join(F.concat(gaps, F.array(F.substring(F.col("text"), F.element_at(spans, -1)["end"] + 1, F.length("text")))), mark)
+
+    text = F.when(F.col(hits_).isNotNull(), let(merged, pieces)).otherwise(F.col("text"))
+    out = joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in names]) if "n_chars" in names else out

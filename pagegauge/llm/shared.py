@@ -117,6 +117,18 @@ def joinable(df: DataFrame, rows: int | None = None, most: int = 1_000_000) -> D
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def sampled(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """df, or of more than ``most`` rows nearly so many: those whose hash of ``by`` lies under a bound that follows from
+    their number, four deviations under ``most``. No task hands on more than its share."""
+    n = df.count()
+    if n <= most:
+        return df
+    if most <= 100:
+        return df.orderBy(F.xxhash64(*by), *by).limit(most)
+    share = (most - 4 * most**0.5) / n
+    return df.where(F.shiftrightunsigned(F.xxhash64(*by), 1) < int(max(share, 0.5 / n) * 2**63))
+
+
 def _discard_at_exit(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:

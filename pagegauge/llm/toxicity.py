@@ -16,19 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise, sampled, unused
 from .textcore import MARKS, Shingler, WordHasher, pieces, utf8
 
 SLOTS = 18
 #: Probability of the last category from which a document is rejected.
 THRESHOLD = 0.35
-#: Earlier categories: name -> words whose presence in a toxic document marks it. Fixed values.
-SEEDS = {
-    "name_calling": ("idiot", "moron", "clown", "loser", "scum", "trash"),
-    "contempt": ("pathetic", "worthless", "disgusting", "stupid"),
-}
+#: Earlier categories: so many kinds of toxic documents, found among the labelled ones by the words that tell them.
+CATEGORIES = ("kind_1", "kind_2")
 LAST = "toxic"
 #: Labelled rows that training reads at most, and buckets that a model looks at at most.
 SAMPLE_ROWS, FEATURES, FOLDS = 8_000, 512, 5
+#: Slots of a labelled row that training reads at most, the least ones.
+MOST_SLOTS = 8_192
 #: Bytes of words' beginnings that count as features beside the words, for what only shows with its endings left off.
 PREFIXES = (4, 5, 6, 7, 8, 9)
 
@@ -161,16 +161,51 @@ def train(rows: Sequence[np.ndarray], labels: dict[str, np.ndarray], most: int =
     return Chain(tuple(links))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
-    """A chain from the first ``sample_rows`` labelled ids by hash, a bound on what training reads at any corpus size.
+def kinds(rows: Sequence[np.ndarray], toxic: np.ndarray, most: int = FEATURES, rounds: int = 20) -> dict[str, np.ndarray]:
+    """The earlier categories: toxic rows parted by the telling slots that stand in them together.
+
+    Directions of the rows over slots chosen for all toxic ones are parted by
+    means of directions, from the row nearest to all and those farthest from
+    the centres before. Rows without a chosen slot are of no kind.
+    """
+    out = {name: np.zeros(len(rows), bool) for name in CATEGORIES}
+    chosen, at = _choose(rows, toxic, most), np.flatnonzero(toxic)
+    x = np.array([np.isin(chosen, rows[k], assume_unique=True) for k in at], float).reshape(len(at), len(chosen))
+    some = x.any(axis=1) if len(chosen) else np.zeros(len(at), bool)
+    at, x = at[some], x[some]
+    if len(at) < len(CATEGORIES):
+        return out
+    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+    centres = [x[np.argmax(x @ x.mean(axis=0))]]
+    while len(centres) < len(CATEGORIES):
+        centres.append(x[np.argmin((x @ np.array(centres).T).max(axis=1))])
+    mine = None
+    for _ in range(rounds):
+        now = np.argmax(x @ np.array(centres).T, axis=1)
+        if mine is not None and (now == mine).all():
+            break
+        mine = now
+        for k in range(len(centres)):
+            if (mine == k).any():
+                mean = x[mine == k].mean(axis=0)
+                centres[k] = mean / max(1e-12, float(np.sqrt(mean @ mean)))
+    for k, name in enumerate(CATEGORIES):
+        out[name][at[mine == k]] = True
+    return out
+
+
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[np.ndarray], np.ndarray]:
+    """(slots of each row, whether it is toxic) of at most ``sample_rows`` labelled ids, and as many distinct texts, chosen by hash.
 
     Near copies would let a single document's words stand out, so of sampled
-    documents with the same least shingle one counts. Null labels are left out.
-    Without labelled documents the chain is empty.
+    documents with the same least shingle one counts. Null labels are left out,
+    ids with several labels count with the largest.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).alias("__y"))
-    picked = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
+    picked = materialise(sampled(materialise(known, "toxic-labels"), sample_rows, "label_id"), "toxic-sample")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("said")).join(F.broadcast(picked), F.col("id") == F.col("label_id"))
+    texts = texts.groupBy("id", "label", F.xxhash64(F.coalesce("said", F.lit(""))).alias("key")).agg(F.first("said").alias("said"))
+    texts = sampled(materialise(texts, "toxic-texts"), sample_rows, "id", "key")
 
     def run(batches):
         hasher, shingler = _hasher(), Shingler()
@@ -179,23 +214,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
             for part in pieces(batch.column(2)):
                 words, first = hasher.words(*utf8(part))
                 at = slots(words)
-                found += [np.unique(at[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:])]
+                found += [np.unique(at[a:b])[:MOST_SLOTS].astype(np.int32) for a, b in zip(first[:-1], first[1:])]
             least = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingler.sets(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "least", "slots"])
 
     # flat arrays, not Python numbers: a few hundred bytes of slots for every kilobyte of sampled text
-    rows = texts.select("__doc", F.col("__y").cast("int"), "__text").mapInArrow(run, "id long, y int, least long, slots array<int>").toArrow().combine_chunks()
+    rows = texts.select("id", "label", "said").mapInArrow(run, "id long, y int, least long, slots array<int>").toArrow().combine_chunks()
     ids, least, y = (rows.column(c).to_numpy() for c in ("id", "least", "y"))
     lists = rows.column("slots").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     order = np.lexsort((ids, least))
     keep = order[np.concatenate([[True], least[order][1:] != least[order][:-1]])[: len(order)]]
-    found = [flat[ends[k] : ends[k + 1]] for k in keep]
-    toxic = y[keep] > 0
-    seeds = {name: [slot_of(w) for w in words] for name, words in SEEDS.items()}
-    categories = {name: toxic & np.array([bool(np.isin(s, x).any()) for x in found], bool) for name, s in seeds.items()}
-    return train(found, {**categories, LAST: toxic})
+    return [flat[ends[k] : ends[k + 1]] for k in keep], y[keep] > 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
+    """A chain from sample(), a bound on what training reads at any corpus size. Without labelled documents it is empty."""
+    found, toxic = sample(docs, labels, sample_rows, id_col, text_col, label_col)
+    return train(found, {**kinds(found, toxic), LAST: toxic})
 
 
 def probabilities(chain: Chain, text: Column) -> Column:
@@ -212,25 +249,34 @@ def probabilities(chain: Chain, text: Column) -> Column:
     return score(text.cast("string"))
 
 
-def judged(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with __p (probabilities) and __toxic: the last category's probability reaches the threshold.
+def _judged(docs: DataFrame, chain: Chain, threshold: float, text_col: str, p: str, toxic: str) -> DataFrame:
+    """docs with columns p (probabilities) and toxic: the last category's probability reaches the threshold.
 
     Null and empty texts have the chain's bias alone and are not toxic; an empty
     chain finds nothing toxic.
     """
     if not chain.links:
-        return docs.withColumn("__p", F.array().cast("array<double>")).withColumn("__toxic", F.lit(False))
-    scored = docs.withColumn("__p", probabilities(chain, F.col(text_col)))
-    return scored.withColumn("__toxic", (F.element_at("__p", -1) >= threshold) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0))
+        return docs.withColumn(p, F.array().cast("array<double>")).withColumn(toxic, F.lit(False))
+    scored = docs.withColumn(p, probabilities(chain, F.col(text_col)))
+    return scored.withColumn(toxic, (F.element_at(p, -1) >= threshold) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0))
 
 
 def report(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, a probability for each category (p_...), and rejected, of every row."""
-    names = chain.names or [*SEEDS, LAST]
-    rows = judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), chain, threshold)
-    return rows.select("doc_id", *[F.coalesce(F.try_element_at("__p", F.lit(k + 1)), F.lit(0.0)).alias(f"p_{n}") for k, n in enumerate(names)], F.col("__toxic").alias("rejected"))
+    """doc_id, a probability for each category (p_...), and rejected, of every row.
+
+    Repeated rows and null ids keep a row each; null and empty texts are not
+    rejected; an empty table gives an empty result; further columns are left out.
+    """
+    names = chain.names or [*CATEGORIES, LAST]
+    rows = _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), chain, threshold, "text", "p", "toxic")
+    return rows.select("doc_id", *[F.coalesce(F.try_element_at("p", F.lit(k + 1)), F.lit(0.0)).alias(f"p_{n}") for k, n in enumerate(names)], F.col("toxic").alias("rejected"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the chain, fitted to docs and labels, does not reject."""
-    return judged(docs, fit(docs, labels), threshold).where(~F.col("__toxic")).select(*docs.columns)
+    """The rows of docs that the chain, fitted to docs and labels, does not reject.
+
+    Repeated rows share a verdict and all stay or go; null and empty texts and
+    null ids stay; any further column passes, whatever its name.
+    """
+    p, toxic = unused(docs.columns, "p", "toxic")
+    return _judged(docs, fit(docs, labels), threshold, "text", p, toxic).where(~F.col(toxic)).select(*[f"`{c}`" for c in docs.columns])

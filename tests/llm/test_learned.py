@@ -16,7 +16,8 @@ def test_toxicity_held_out(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     labels = spark.read.parquet(f"{D}/labels.parquet")
     chain = toxicity.fit(docs, labels.where("doc_id % 3 <> 0"))
-    assert chain.names == ["name_calling", "contempt", "toxic"]
+    assert chain.names == [*toxicity.CATEGORIES, "toxic"]
+    assert all(len(x.slots) for x in chain.links) and (chain.links[-1].earlier > 0).all()
     held = docs.join(labels.where("doc_id % 3 = 0"), "doc_id")
     rows = toxicity.report(held.select(docs.columns), chain).join(labels, "doc_id").select("rejected", "toxic").collect()
     caught = [r["rejected"] for r in rows if r["toxic"] == 1]
@@ -26,6 +27,16 @@ def test_toxicity_held_out(spark):
     assert sum(clean) / len(clean) < 0.02
 
 
+def test_kinds_are_found_in_the_labelled_rows():
+    rng = np.random.default_rng(4)
+    y = np.arange(900) % 6 == 0
+    rows = [np.unique(np.concatenate([rng.integers(1000, 9000, 30), ([5, 6] if k % 12 else [7, 8]) if t else []]).astype(np.int64)) for k, t in enumerate(y)]
+    found = toxicity.kinds(rows, y)
+    parts = {tuple(np.flatnonzero(v)) for v in found.values()}
+    assert parts == {tuple(k for k in range(900) if y[k] and k % 12), tuple(k for k in range(900) if y[k] and k % 12 == 0)}
+    assert not any(v.any() for v in toxicity.kinds(rows, np.zeros(900, bool)).values())
+
+
 def test_chain_learns_and_feeds_forward():
     rng = np.random.default_rng(0)
     n = 3000

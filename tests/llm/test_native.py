@@ -115,6 +115,30 @@ def test_redaction(spark):
     assert got == {1: ("a [SECRET] b é [SECRET]", 23), 2: ("clean", 5), 3: (None, None)}
 
 
+OWN_NAMES = ["key", "hit_id", "hit_key", "hits", "th", "ts", "n", "equal", "row", "told", "alike", "upto", "times", "p", "__k", "__id", "__hits", "__n", "__p", "__toxic", "a.b"]
+
+
+def test_stages_stand_any_column_name(spark):
+    from pagegauge.llm import toxicity
+
+    said = [(1, "a token=abcdefgh b password=hunter22"), (2, "plain words"), (2, "plain words"), (None, "no id"), (5, None)]
+    data = [(i, t, "en", "s", 0, *[k] * len(OWN_NAMES)) for k, (i, t) in enumerate(said)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in OWN_NAMES))
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    rest = lambda df: Counter(tuple(r)[5:] for r in df.collect())
+    for out in (secrets.redact(docs), toxicity.keep_clean(docs, labels)):
+        assert out.columns == docs.columns and rest(out) == Counter(d[5:] for d in data)
+    out = mixing.mixed(docs, labels)
+    assert out.columns == docs.columns and set(rest(out)) <= {d[5:] for d in data}
+    assert rest(out) == rest(mixing.mixed(docs.repartition(7), labels))
+
+
+def test_redaction_of_overlaps_and_many_spans(spark):
+    text = "x" + " token=abcdefgh" * 300 + " secret=0123456789abcdef0123456789abcdef end"
+    got = secrets.redact(frame(spark, [(1, text, "en", "s", 1, *[None] * 5)])).first()["text"]
+    assert got == "x" + " [SECRET]" * 301 + " end"
+
+
 def plain_targets(sizes, share=1.5, most=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
