@@ -2,7 +2,9 @@
 
 STAGES: (name, function) in order; each function takes (spark, docs, sf_dir)
 and returns a DataFrame, for all but the last with the columns of documents.
-Nulls in any column pass; an empty table passes through every stage.
+Nulls in any column pass; an empty table passes through every stage, and so do
+further columns of any name. Rows that repeat are told by id and text: near
+copies keep one of them, the other stages treat each as a row of its own.
 """
 
 from __future__ import annotations
@@ -11,9 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagegauge.llm import bpe, mixing, ngram_join, secrets, toxicity
-from pagegauge.llm.shared import materialise, table
-
-RANKS = "byte_bpe_multi_50k.tiktoken"
+from pagegauge.llm.queries import RANKS
+from pagegauge.llm.shared import materialise, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over documents; each stage's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:
+            docs = keep(materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)
