@@ -142,6 +142,49 @@ def test_pages_of_other_shapes():
         html_text.extract(deep)
 
 
+SAID = [f"Paragraph {k} says something of its own about {w}, in one sentence, and goes on for a while after that." for k, w in enumerate("rivers stones birds clouds trees roads".split())]
+PS = "".join(f"<p>{x}</p>" for x in SAID)
+MENU = '<ul class="menu"><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>About us</a></ul>'
+SHAPES = {
+    "plain blocks": f"<body><div>{' '.join(SAID)}</div><div><a href=1>one more</a> <a href=2>another story</a> <a href=3>a third one</a></div></body>",
+    "wrappers named after what they lack": f'<body><div class="layout with-sidebar"><div class="post no-comments">{PS}</div><div class="sidebar"><a href=1>one</a> <a href=2>two</a></div></div></body>',
+    "a table for a frame": f"<body><table><tr><td>{MENU}</td><td>{PS}</td></tr></table></body>",
+    "names by id": f'<body><div id="top-banner">Buy now and save a lot of money today.</div><div id="content">{PS}</div><div id="commentList"><p>I liked this a lot, and so did all of my friends.</p></div></body>',
+    "loose paragraphs": f"<body>{MENU}{PS}<footer>All rights reserved by whom it may concern.</footer></body>",
+    "links without names": f"<body><div><div>{PS}</div><div><ul><li><a href=1>Read this too</a></li><li><a href=2>And this one</a></li><li><a href=3>And that</a></li></ul></div></div></body>",
+    "a form and a script beside": f"<body><section>{PS}<form>Your mail <input><button>Send</button></form><script>x('<p>no</p>')</script></section><div class='newsletter-signup'>Get our letters every week, for free, for ever.</div></body>",
+}
+
+
+def test_shapes_without_an_article():
+    for name, page in SHAPES.items():
+        want = " ".join(SAID) if name == "plain blocks" else "\n\n".join(SAID)
+        assert html_text.extract(f"<html>{page}</html>") == want, name
+
+
+def test_names_are_evidence_only():
+    assert html_text.extract(f'<article><div class="article-header"><h1>A title</h1></div>{PS}<p class="share-price">It closed at three.</p><div class="ad">Buy it now</div></article>') == "\n\n".join(["A title", *SAID, "It closed at three."])
+    assert html_text.extract(f"<main><article>{PS}</article><div><p>Well said, I could not agree more.</p></div></main>") == "\n\n".join(SAID)
+    assert html_text.extract('<div class="ad"><p>Buy this thing today.</p><p>Do not wait, and buy it now.</p></div><article>Short.</article>') == "Short."
+    assert [html_text.name_against(x) for x in ("ad", "post", "post-comments", "comment-list", "siteHeader", "share-price", "no-comments", "article-header", "x ad-slot")] == [2, 0, 2, 2, 2, 1, 1, 1, 2]
+
+
+def test_densities_decide(monkeypatch):
+    """With all densities alike, pages without articles come out otherwise."""
+    whole = html_text.measure
+
+    def flat(root):
+        nodes = whole(root)
+        for n in nodes:
+            n.density = n.total = 1.0
+        return nodes
+
+    before = {name: html_text.extract(f"<html>{page}</html>") for name, page in SHAPES.items()}
+    monkeypatch.setattr(html_text, "measure", flat)
+    after = {name: html_text.extract(f"<html>{page}</html>") for name, page in SHAPES.items()}
+    assert sum(before[n] != after[n] for n in SHAPES) >= 2
+
+
 def test_extraction_of_awkward_rows(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p>é \U0001f600", 3), (3, "u", "<p>é \U0001f600", 3), (None, None, None, None)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
