@@ -44,7 +44,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.to_media(table(spark, sf_dir, "documents"))).drop("error")
+    return media.features(media.to_media(table(spark, sf_dir, "documents")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,29 @@ def test_png_round_trip(kind, shape):
     assert (media.read_png(media.write_png(image, kind, chunk=50)) == image).all()
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (9, 13), (5000, 40)])
+def test_png_with_a_filter_for_each_row(shape):
+    """Rows alike take filter 2, even ones filter 1, and bytes near zero none; all come back."""
+    image = np.random.default_rng(1).integers(0, 4, shape, dtype=np.uint8)
+    image[::5] = 200
+    image[1::5] = image[: len(image[1::5]) * 5 : 5]
+    chosen = media._chosen(image)
+    assert (media._unfiltered(chosen, 1) == image).all()
+    assert (media.read_png(media.write_png(image)) == image).all()
+    if shape == (5000, 40):
+        assert set(chosen[:, 0]) == {0, 1, 2}
+        assert (chosen[1::5, 0] == 2).all()
+
+
+def test_filters_are_undone_on_the_way(spark, monkeypatch):
+    """Without undoing, payloads are not those that went in."""
+    text = "words of a text that goes on " * 60
+    stored = media.write_png(np.frombuffer(media.payload(text), np.uint8).reshape(-1, media.WIDTH))
+    assert media.read_png(stored).tobytes() == media.payload(text)
+    monkeypatch.setattr(media, "_unfiltered", lambda rows, step: rows[:, 1:])
+    assert media.read_png(stored).tobytes() != media.payload(text)
+
+
 def test_damaged_png_is_refused():
     good = media.write_png(np.arange(600, dtype=np.uint8).reshape(20, 30))
     for k in range(len(good)):
