@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from ..plans.config import Settings
+from ..plans.config import Settings, provider_list
 from ..sources import codecs, pdf
 from . import detect, rules
 
@@ -29,13 +29,54 @@ class ModelMissing(RuntimeError):
     pass
 
 
-def _no_weights(image, mask, settings):
-    raise ModelMissing("no weights for this detector here")
+#: Scorers by their model's path, one a worker process, however many tasks it runs.
+_SESSIONS: dict[str, Callable] = {}
+
+
+def onnx_scorer(path: str, providers: str = "", require_gpu: bool = False) -> Callable:
+    """A function from a batch of (1, 3, side, side) float32 to the model's outputs."""
+    try:
+        import onnxruntime
+    except ImportError as e:
+        raise ModelMissing("no runtime for models here") from e
+    able = onnxruntime.get_available_providers()
+    if require_gpu and "CUDAExecutionProvider" not in able:
+        raise ModelMissing("a GPU is required and none is here")
+    try:
+        session = onnxruntime.InferenceSession(path, providers=provider_list(providers) or able)
+    except Exception as e:  # noqa: BLE001  whatever keeps a model from loading, it is missing
+        raise ModelMissing(str(e)[:200]) from e
+    name = session.get_inputs()[0].name
+    return lambda batch: session.run(None, {name: batch})
+
+
+def model_input(image: np.ndarray, side: int = 256) -> np.ndarray:
+    """(1, 3, side, side) float32 from 0 to 1 of a picture squeezed to a square, grey ones in three equal planes."""
+    h, w = image.shape[:2]
+    y, x = np.mgrid[:side, :side].astype(float)
+    small = k.sample(image, (x + 0.5) * w / side - 0.5, (y + 0.5) * h / side - 0.5)
+    small = np.repeat(small[..., None], 3, axis=2) if small.ndim == 2 else small[..., :3]
+    return np.ascontiguousarray(small.astype(np.float32).transpose(2, 0, 1)[None] / 255)
+
+
+def regressed(image: np.ndarray, s: Settings, load: Callable = onnx_scorer) -> list[tuple[np.ndarray, float]]:
+    """The quad of a corner model: heat maps of four corners, or points and whether there is an object."""
+    if not s.corner_model:
+        raise ModelMissing("no weights for this detector here")
+    key = f"{s.corner_model}|{s.onnx_providers}|{s.require_gpu}|{getattr(load, '__qualname__', load)}"
+    if key not in _SESSIONS:
+        _SESSIONS[key] = load(s.corner_model, s.onnx_providers, s.require_gpu)
+    outputs, (h, w) = _SESSIONS[key](model_input(image)), image.shape[:2]
+    if s.corner_head == "point":
+        found = k.point_corners(outputs[0], float(np.ravel(outputs[1])[0]), h, w)
+    else:
+        found = k.heatmap_corners(np.asarray(outputs[0]).reshape(4, *np.shape(outputs[0])[-2:]), h, w)
+    return [found] if found else []
 
 
 detect.register(detect.Detector("mask-contour", lambda image, mask, s: [] if mask is None else k.mask_quads(mask, s.approx_poly_epsilon_ratio, s.candidate_area_ratio), None, True))
 detect.register(detect.Detector("edge-hough", lambda image, mask, s: k.edge_quad(image), None))
-detect.register(detect.Detector("corner-regression", _no_weights, 0.45))
+detect.register(detect.Detector("corner-regression", lambda image, mask, s: regressed(image, s), 0.45))
 
 
 @dataclass(frozen=True)
@@ -111,6 +152,7 @@ def measure_page(image: np.ndarray, p: Pipeline, pre_cropped: bool) -> dict:
     out["mask_quad_fit"] = k.mask_fit(mask)
     if s.contain_paper_contour and mask is not None and mask.any():
         quad = k.containing_quad(quad, k.outline(k.largest(mask)).astype(float), h, w, s.edge_grow_percentile, s.max_edge_grow_ratio)
+    quad = k.expanded(quad, s.edge_expand_px, h, w)
     full = k.order_corners(quad) * ratio
     out["border_ink_ratio"] = k.ink_at_border(image, full, s.content_clip_band_ratio, m, s.border_paper_min_ratio, s.border_paper_percentile)
     page = k.flatten(image, full)
@@ -160,9 +202,10 @@ def measured(files: DataFrame, p: Pipeline = Pipeline()) -> DataFrame:
 
 
 def judged(files: DataFrame, p: Pipeline = Pipeline()) -> DataFrame:
-    """measured() with reasons and verdict: an error is the only reason of its row."""
+    """measured() with reasons, verdict and told: an error is the only reason of its row. told: each reason's severity,
+    the hint for the settings' audience, and the figures it rests on."""
     s = p.settings
     rows = measured(files, p)
     gate = F.when(F.col("pdf_source").isNotNull(), s.pdf_pre_cropped_min_area).otherwise(s.pre_cropped_min_area)
     codes = F.when(F.col("error").isNotNull(), F.array(F.col("error"))).otherwise(rules.page_codes(s, gate=gate))
-    return rows.withColumn("reasons", codes).withColumn("verdict", rules.verdict(F.col("reasons")))
+    return rows.withColumn("reasons", codes).withColumn("verdict", rules.verdict(F.col("reasons"))).withColumn("told", rules.told(F.col("reasons"), s))

@@ -141,3 +141,19 @@ def metrics_json(pages: DataFrame) -> Column:
     """The page's metrics as JSON: numbers to four places, what was not measured left out."""
     known = [(n, t) for n, t, _ in METRIC_FIELDS if n in pages.columns]
     return F.to_json(F.struct(*[(F.round(F.col(n), 4) if t == "double" else F.col(n)).alias(n) for n, t in known]))
+
+
+def documents_json(pages: DataFrame) -> DataFrame:
+    """file, document: a JSON text of each file, its verdict, the union of its codes in order of appearance, and its pages
+    with their codes and metrics. A file has at most as many pages as the reader takes, so its pages are held together."""
+    told = [F.col("told")] if "told" in pages.columns else []
+    page = F.struct(F.col("page"), F.col("verdict"), F.col("reasons"), *told, *[F.col(n) for n, _, _ in METRIC_FIELDS if n in pages.columns and n not in ("page", "verdict", "reasons")])
+    grouped = pages.groupBy("file").agg(F.sort_array(F.collect_list(page)).alias("pages"), F.max(rank(F.col("verdict"))).alias("worst"))
+    codes = F.array_distinct(F.flatten(F.transform("pages", lambda x: x["reasons"])))
+    document = F.struct(F.col("file"), unrank(F.col("worst")).alias("verdict"), F.size("pages").alias("page_count"), codes.alias("reasons"), F.col("pages"))
+    return grouped.select("file", F.to_json(document).alias("document"))
+
+
+def as_json(row: DataFrame) -> DataFrame:
+    """One column, summary: each row as JSON."""
+    return row.select(F.to_json(F.struct(*[f"`{c}`" for c in row.columns])).alias("summary"))

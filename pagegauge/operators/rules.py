@@ -6,9 +6,12 @@ no rule fires on it. Codes come out in a fixed order.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import catalogue
 from ..plans.catalogue import BORDER, FAILS
 from ..plans.config import Settings
 
@@ -109,6 +112,48 @@ def judged(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     return pages.withColumn("reasons", page_codes(s)).withColumn("verdict", verdict(F.col("reasons"))).withColumn("deskew_applied_deg", deskew_angle(s))
 
 
+#: code -> (measure, the setting it is held against): what a reason's detail tells.
+GROUNDS = {
+    "SUBJECT_NOT_FOUND": ("alpha_coverage", "min_alpha_coverage"),
+    "TOO_SMALL": ("quad_area_ratio", "min_quad_area_ratio"),
+    "EXTREME_SKEW": ("skew_ratio", "max_skew_ratio"),
+    "CONTENT_CLIPPED": ("border_ink_ratio", "max_border_ink_ratio"),
+    "CONTENT_OUTSIDE_CROP": ("abandoned_ratio", "max_abandoned_ratio"),
+    "NO_CROP_DETECTED": ("quad_area_ratio", "no_crop_area_ratio"),
+    "TEXT_NOT_LEVEL": ("text_skew_deg", "max_text_skew_deg"),
+    "DETECTOR_DISAGREEMENT": ("detector_iou", "min_detector_iou"),
+    "LOW_RESOLUTION": ("long_side_px", "min_long_side_px"),
+    "BLURRY": ("blur_score", "min_blur_score"),
+    "GLARE": ("glare_ratio", "glare_ratio"),
+    "TOO_DARK": ("median_brightness", "min_median_brightness"),
+    "CLIPPED_EDGE": ("touches_border", None),
+    "MULTIPLE_DOCUMENTS": ("contour_candidates", None),
+}
+
+
+def detail(c: Column, s: Settings = Settings(), columns: Collection[str] | None = None) -> Column:
+    """The figures a code rests on, as "measure value, limit": null where it rests on none. columns: those at hand, all by default."""
+    out = F.lit(None).cast("string")
+    for name, (measure, limit) in GROUNDS.items():
+        if columns is None or measure in columns:
+            value = F.round(F.col(measure).cast("double"), 4).cast("string")
+            said = F.concat(F.lit(f"{measure} "), F.coalesce(value, F.lit("not measured")), F.lit("" if limit is None else f", limit {getattr(s, limit):g}"))
+            out = F.when(c == name, said).otherwise(out)
+    if columns is None or "error_detail" in columns:
+        out = F.coalesce(out, F.when(c == F.col("error"), F.nullif(F.col("error_detail"), F.lit(""))))
+    return out
+
+
+def told(reasons: Column, s: Settings = Settings(), columns: Collection[str] | None = None) -> Column:
+    """Codes as array<struct<code,severity,audience,hint,detail>> for the settings' audience."""
+    return F.transform(for_audience(reasons, catalogue.specs(), s.hint_audience), lambda r: F.struct(r["code"].alias("code"), r["severity"].alias("severity"), r["audience"].alias("audience"), r["hint"].alias("hint"), detail(r["code"], s, columns).alias("detail")))
+
+
+def first_failing(reasons: Column) -> Column:
+    """The first code that fails a page, null if none does."""
+    return F.get(F.filter(reasons, lambda c: catalogue.severity_of(c) == "fail"), F.lit(0))
+
+
 def for_audience(reasons: Column, catalogue_map: Column, audience: str | None) -> Column:
     """Codes as struct<code,severity,audience,hint>; no audience: each code's own."""
     def one(c: Column) -> Column:

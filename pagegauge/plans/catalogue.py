@@ -89,6 +89,15 @@ def frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, severity string, audience string, message string, hints map<string,string>")
 
 
+def specs() -> Column:
+    """code -> struct<severity, audience, hints>, as a literal map."""
+    def hints(c: str) -> Column:
+        both = [(who, text) for who, text in (("capturer", TEXTS[c][1]), ("operator", TEXTS[c][2])) if text]
+        return F.create_map(*[F.lit(x) for pair in both for x in pair]) if both else F.create_map().cast("map<string,string>")
+
+    return F.create_map(*[x for c, severity, audience in CODES for x in (F.lit(c), F.struct(F.lit(severity).alias("severity"), F.lit(audience).alias("audience"), hints(c).alias("hints")))])
+
+
 def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 

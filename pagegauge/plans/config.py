@@ -14,11 +14,8 @@ class Settings:
     """Thresholds and switches. Results depend on these defaults."""
 
     work_height: int = 500
-    segment_at_model_size: bool = False
-    blur_ksize_ratio: float = 0.03
     approx_poly_epsilon_ratio: float = 0.02
     min_alpha_coverage: float = 0.05
-    max_alpha_coverage: float = 0.95
     min_quad_area_ratio: float = 0.2
     candidate_area_ratio: float = 0.05
     max_skew_ratio: float = 1.8
@@ -56,10 +53,8 @@ class Settings:
     pdf_render_dpi: int = 200
     pdf_max_dpi: int = 400
     pdf_out_dpi: int = 300
-    pdf_out_jpeg_quality: int = 100
     pdf_page_image_coverage: float = 0.9
     hint_audience: str = "capturer"
-    segmentation_model: str = "u2net"
     onnx_providers: str = ""
     require_gpu: bool = False
     detector: str = "corner-regression"

@@ -27,6 +27,27 @@ def page_files(rows: DataFrame) -> DataFrame:
     return rows.where("image is not null").select(F.concat(bare, tail).alias("name"), "image")
 
 
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "image") -> None:
+    """Each row's bytes as a file of its name under a folder that all executors reach (a path or a URI).
+
+    A file is written beside its name and then moved there, so that a task that
+    is run again replaces it whole. Names must be distinct.
+    """
+
+    def save(part) -> None:
+        from pyarrow import fs
+
+        for row in part:
+            at, path = (fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder))
+            target = f"{path.rstrip('/')}/{row[0].lstrip('/')}"
+            at.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with at.open_output_stream(target + ".part") as out:
+                out.write(bytes(row[1]))
+            at.move(target + ".part", target)
+
+    rows.select(name, content).where(F.col(name).isNotNull() & F.col(content).isNotNull()).foreachPartition(save)
+
+
 def documents_pdf(rows: DataFrame) -> DataFrame:
     """file, pdf: each file's page images as one PDF; pages come in order, a file's pages are in one task."""
     import pandas as pd
