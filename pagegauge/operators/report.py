@@ -157,3 +157,15 @@ def documents_json(pages: DataFrame) -> DataFrame:
 def as_json(row: DataFrame) -> DataFrame:
     """One column, summary: each row as JSON."""
     return row.select(F.to_json(F.struct(*[f"`{c}`" for c in row.columns])).alias("summary"))
+
+
+def first_files(pages: DataFrame, n: int) -> DataFrame:
+    """The pages of the first n files by name."""
+    some = pages.select(F.col("file").alias("first_file")).distinct().orderBy("first_file").limit(n)
+    return pages.join(F.broadcast(some), F.col("file") == F.col("first_file")).drop("first_file")
+
+
+def latest(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """Of the rows of each key the one that comes last, whole."""
+    whole = F.struct(*[f"`{c}`" for c in rows.columns])
+    return rows.groupBy(F.col(by).alias("latest_of")).agg(F.max_by(whole, F.col(order)).alias("row")).select("row.*")

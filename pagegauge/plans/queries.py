@@ -471,10 +471,63 @@ def rep_csv_rows(spark, d):
     return rows.select("vec_id", F.col("text").alias("reasons"), F.size(report.split_reasons(F.col("text"))).cast("long").alias("n_codes"), F.round("quad_area_ratio", 4).alias("quad_area_ratio"), F.round("blur_score", 4).alias("blur_score"))
 
 
-@query()
+@query(b.sql(*_ALL, tail="SELECT vec_id, round(quad_area_ratio, 4) AS quad_area_ratio, round(skew_ratio, 4) AS skew_ratio, round(blur_score, 4) AS blur_score, is_convex, touches_border::INT AS touches_border FROM judged"))
 def rep_metrics_json(spark, d):
+    """The metrics' JSON, read back into columns."""
     rows = b.judged(spark, d)
-    return rows.select("vec_id", report.metrics_json(rows).alias("metrics"))
+    read = rows.select("vec_id", F.from_json(report.metrics_json(rows), "quad_area_ratio double, skew_ratio double, blur_score double, is_convex boolean, touches_border int").alias("m"))
+    return read.select("vec_id", "m.*")
+
+
+_GROUNDS = "CASE code " + " ".join(f"WHEN '{c}' THEN '{m}'" for c, (m, _) in rules.GROUNDS.items()) + " END"
+
+
+@query(
+    b.sql(
+        *_ALL,
+        "\n" + _SPEC,
+        "\n" + _HINTS.replace("hints(code, audience,", "hints(code, who,"),
+        "\neach_ AS (SELECT vec_id, unnest(reasons) AS code, generate_subscripts(reasons, 1) AS pos FROM judged)",
+        tail=f"SELECT vec_id, pos::INT AS pos, code, severity, coalesce(capturer, operator) AS hint, {_GROUNDS} AS ground FROM each_ JOIN spec USING (code) JOIN hints USING (code)",
+    )
+)
+def rule_told(spark, d):
+    """Each reason as the one who took the picture is told it, and the measure it rests on."""
+    rows = b.judged(spark, d)
+    each = rows.select("vec_id", F.posexplode(rules.told(F.col("reasons"), S, rows.columns)).alias("pos", "t"))
+    ground = F.nullif(F.regexp_extract(F.coalesce("t.detail", F.lit("")), "^[a-z_]+", 0), F.lit(""))
+    return each.select("vec_id", (F.col("pos") + 1).alias("pos"), "t.code", "t.severity", "t.hint", ground.alias("ground"))
+
+
+@query(b.sql(*_ALL, tail="SELECT vec_id, list_filter(reasons, lambda c: c IN (" + ", ".join(f"'{c}'" for c, s, _ in catalogue.CODES if s == "fail") + "))[1] AS first_fail FROM judged"))
+def rule_first_fail(spark, d):
+    return b.judged(spark, d).select("vec_id", rules.first_failing(F.col("reasons")).alias("first_fail"))
+
+
+@query(b.sql(*_ALL, _PAGES, tail="SELECT file, page::INT AS page, verdict FROM numbered WHERE file IN (SELECT DISTINCT file FROM numbered ORDER BY file LIMIT 25)"))
+def rep_first_files(spark, d):
+    """The pages of the first 25 files: the limit is what a trial run asks for."""
+    return report.first_files(_pages(spark, d), 25).select("file", "page", "verdict")
+
+
+@query(b.sql(*_ALL, _PAGES, tail="SELECT file, max(vec_id) AS vec_id, arg_max(verdict, vec_id) AS verdict FROM numbered GROUP BY file"))
+def rep_latest_of_file(spark, d):
+    """A baseline in which the last row of a file counts."""
+    return report.latest(_pages(spark, d).select("file", "vec_id", "verdict"), "file", "vec_id")
+
+
+@query(
+    b.sql(
+        *_ALL,
+        _PAGES,
+        tail=f"SELECT file, {_WORST} AS verdict, count(*) AS page_count, string_agg(verdict, ',' ORDER BY page) AS verdicts FROM numbered GROUP BY file",
+    )
+)
+def rep_documents_json(spark, d):
+    """Documents as JSON, read back: no text of numbers is compared."""
+    shape = "file string, verdict string, page_count long, reasons array<string>, pages array<struct<page:int,verdict:string>>"
+    read = report.documents_json(_pages(spark, d)).select(F.from_json("document", shape).alias("x"))
+    return read.select("x.file", "x.verdict", "x.page_count", F.array_join("x.pages.verdict", ",").alias("verdicts"))
 
 
 # --- capacity
