@@ -14,8 +14,9 @@ exhausted; so a group of near copies costs about its size, and no link between
 components is lost. Lists of heavy shingles are dealt in parts with a pivot
 each, and the parts' pivots meet. Marks, parities of hashed shingles, rule out
 most candidates without their texts. The rest are verified on whole texts, a
-pivot's text once for all it meets in a part. Words, shingles and sets are told
-apart by 64-bit hashes.
+pivot's text once for all it meets in a part. Numbers of links are counted last,
+within components, by overlaps of whole sets block by block. Words, shingles and
+sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ HEAVY = 65_536
 PART = 2_048
 #: A list of more members than this is cut into blocks when its members meet each other.
 BLOCK = 1_024
+#: Shingles of a block of a component's sets, on average, and columns of the table of bits that overlaps are counted in.
+SHINGLES, COLUMNS = 1 << 20, 8_192
 #: Least bits of a set's mark.
 MARK = 512
 _U = np.uint64
@@ -519,14 +522,16 @@ def _verify(size: int, ratio: Ratio):
     return run
 
 
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of the given texts' keys nk, which are written; other texts travel only if the filter takes them for one of these."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(keys.select("nk"), keys.count()))
+    return docs.select("key", "text").mapInArrow(_held(bits), "key long, text string").groupBy("key").agg(F.first("text").alias("text"))
+
+
 def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, ratio: Ratio) -> DataFrame:
-    """The pairs (a, b, part) that link, from whole texts: a's goes once to each of its parts, b's once to each pair.
-    Other texts than these nodes' travel only if the filter takes them for one of these."""
+    """The pairs (a, b, part) that link, from whole texts: a's goes once to each of its parts, b's once to each pair."""
     keys = materialise(_known(rows, _ends(pairs), F.min("key").alias("nk")), "join-keys")
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(keys.select("nk"), keys.count()))
-    asked = _asked(pairs, keys, "nk")
-    texts = docs.select("key", "text").mapInArrow(_held(bits), "key long, text string").groupBy("key").agg(F.first("text").alias("text"))
-    whole = asked.join(texts, F.col("nk") == F.col("key")).select("a", "part", "b", "text")
+    whole = _asked(pairs, keys, "nk").join(_texts(docs, keys), F.col("nk") == F.col("key")).select("a", "part", "b", "text")
     return materialise(_dealt(whole).mapInArrow(_verify(size, ratio), "a long, b long"), "join-links")
 
 
@@ -612,33 +617,39 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 SALTS = 32
 
 
+def _told(rows: DataFrame, key: str, groups: DataFrame, group: str) -> DataFrame:
+    """rows with what is known of their key in ``groups``, written rows of distinct keys: no key, however frequent, is one task's."""
+    if groups.count() <= 1_000_000:
+        return rows.join(F.broadcast(groups), F.col(key) == F.col(group))
+    groups = groups.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(groups, (F.col(key) == F.col(group)) & (F.col("salt") == F.col("t"))).drop("salt", "t")
+
+
 def _apart(wide: DataFrame, labels: DataFrame) -> DataFrame:
     """(sig, node, place, label, mine, blocks): rows of the lists that hold members of different components."""
     named = wide.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("sig", "node", "place", F.coalesce("label", "node").alias("label"))
     lists = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
     lists = materialise(lists.select(F.col("sig").alias("s"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "join-lists")
-    n = lists.count()
-    if n <= 1_000_000:
-        again = named.join(F.broadcast(lists), F.col("sig") == F.col("s"))
-    else:
-        lists = lists.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        again = named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lists, (F.col("sig") == F.col("s")) & (F.col("salt") == F.col("t")))
+    again = _told(named, "sig", lists, "s")
     return again.select("sig", "node", "place", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"), "blocks")
 
 
+def _cells(rows: DataFrame, group: str, *names: str) -> DataFrame:
+    """(group, cell, side, names): each row in the cells where its block, mine of blocks, meets itself (side 0) or another (1 or 2)."""
+    cells = rows.select(group, *names, "mine", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return cells.select(
+        group,
+        (F.least("mine", "other").cast("long") * F.col("blocks") + F.greatest("mine", "other")).alias("cell"),
+        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+        *names,
+    )
+
+
 def _met(again: DataFrame, marks: DataFrame, ratio: Ratio, nearest: bool) -> DataFrame:
     """(a, b, part): pairs of different labels in the same list that can still link; with ``nearest`` one for each node."""
     marked = again.join(marks.select(F.col("node").alias("mn"), "mark"), F.col("node") == F.col("mn"))
-    cells = marked.select("sig", "node", "place", "label", "mark", "mine", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(
-        "sig",
-        (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("cell"),
-        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        "node",
-        "place",
-        "label",
-        "mark",
-    )
+    cells = _cells(marked, "sig", "node", "place", "label", "mark")
     met = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "side", "node").mapInArrow(_meet_all(ratio, nearest), "a long, b long, far long, part int")
     if nearest:
         met = met.groupBy("a").agg(F.min(F.struct("far", "b", "part")).alias("s")).select("a", "s.b", "s.part")
@@ -725,16 +736,113 @@ def _labels(docs: DataFrame, size: int, ratio: Ratio) -> tuple[DataFrame, DataFr
     return rows, labels
 
 
-def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, component_id, node and label of each row, from the labels of linked nodes."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each set on the left with each on the right, from tables of bits of COLUMNS shingles at a time."""
+    flat = [np.concatenate(sets) for sets in (left, right)]
+    if left is right:
+        common, counts = np.unique(flat[0], return_counts=True)
+        common = common[counts > 1]
+    else:
+        common = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(common):
+        return out
+    ones = []
+    for sets, values in zip((left, right), flat, strict=True):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        found = np.flatnonzero(common[at] == values)
+        found = found[np.argsort(at[found], kind="stable")]
+        ones.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[found], at[found]))
+    for start in range(0, len(common), COLUMNS):
+        width = -(-min(COLUMNS, len(common) - start) // 64) * 64
+        tables = []
+        for sets, (row, column) in zip((left, right), ones, strict=True):
+            some = slice(*np.searchsorted(column, [start, start + width]))
+            table = np.zeros((len(sets), width), bool)
+            table[row[some], column[some] - start] = True
+            tables.append(np.packbits(table, axis=1).view(np.uint64))
+        for k, bits in enumerate(tables[0]):
+            out[k] += np.bitwise_count(bits & tables[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _count_within(size: int, ratio: Ratio):
+    """(node, near) over rows (label, cell, side, node, copies, text) by (label, cell): copies of the cell's nodes that a node
+    links to, from whole texts. A cell holds one block of a component, or two that meet."""
+
+    def near(held: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = [h for h in held if h[0] != 2], [h for h in held if h[0] != 1]
+        if not left or not right:
+            return
+        one = len(left) == len(held)
+        sets = [h[3] for h in left]
+        found = overlaps(sets, sets if one else [h[3] for h in right])
+        n, m = (np.array([len(h[3]) for h in side]) for side in (left, right))
+        linked = found >= ratio.overlap(n[:, None], m[None, :])
+        u, v = (np.array([h[1] for h in side], np.int64) for side in (left, right))
+        x, y = (np.array([h[2] for h in side], np.int64) for side in (left, right))
+        if one:
+            np.fill_diagonal(linked, False)
+        yield u, (linked * y).sum(axis=1)
+        if not one:
+            yield v, (linked * x[:, None]).sum(axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, cell, held = Shingler(size), None, []
+        for batch in batches:
+            made = []
+            label, number, side, node, copies = (batch.column(k).to_pylist() for k in range(5))
+            for k, s in enumerate(shingler.sets(batch.column(5))):
+                if cell != (label[k], number[k]):
+                    made += near(held)
+                    cell, held = (label[k], number[k]), []
+                held.append((side[k], node[k], copies[k], s))
+            if made:
+                yield _batch(node=np.concatenate([u for u, _ in made]), near=np.concatenate([n for _, n in made]))
+        for u, n in near(held):
+            yield _batch(node=u, near=n)
+
+    return run
+
+
+def _within(docs: DataFrame, rows: DataFrame, labels: DataFrame, size: int, ratio: Ratio) -> DataFrame:
+    """(node, near), written: the rows of other nodes that a linked node links to.
+
+    Both ends of a link are in one component, so only a component's nodes meet: a
+    pair is a link, larger ones are cut into blocks by their nodes and shingles, of
+    which each two meet in a task of their own. A text goes once to each of its
+    component's blocks, and no pair is a row.
+    """
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("nk"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    members = nodes.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln")).drop("ln")
+    members = materialise(members, "join-members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).cast("int")
+    groups = members.groupBy(F.col("label").alias("gl")).agg(F.count(F.lit(1)).alias("members"), F.sum("copies").alias("whole"), blocks.alias("blocks"))
+    told = materialise(_told(members, "label", materialise(groups, "join-groups"), "gl"), "join-told")
+    pairs = told.where("members = 2").select("node", (F.col("whole") - F.col("copies")).alias("near"))
+    large = told.where("members > 2").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = _cells(large.join(_texts(docs, large), F.col("nk") == F.col("key")), "label", "node", "copies", "text")
+    dealt = cells.repartition("label", "cell").sortWithinPartitions("label", "cell", "side")
+    counted = dealt.mapInArrow(_count_within(size, ratio), "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
+    return materialise(pairs.unionByName(counted), "join-near")
+
+
+def _named(rows: DataFrame, labels: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, node, label and, given the linked nodes' ``near``, n_links of each row."""
     # the least id of each node, then of each component; nodes without links are their own
     least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    known = least.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", F.coalesce("label", "node").alias("label"), F.col("ln").isNotNull().alias("linked"), "least", "copies")
+    known = least.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left")
+    links = F.col("copies") - 1
+    if near is not None:
+        known = known.join(near.select(F.col("node").alias("nn"), "near"), F.col("node") == F.col("nn"), "left")
+        links = links + F.coalesce("near", F.lit(0))
+    known = known.select("node", F.coalesce("label", "node").alias("label"), F.col("ln").isNotNull().alias("linked"), "least", "copies", links.alias("links"))
     known = known.where("linked or copies > 1")
     whole = known.groupBy("label").agg(F.min("least").alias("component"))
-    final = known.join(whole.withColumnRenamed("label", "wl"), F.col("label") == F.col("wl")).select(F.col("node").alias("fn"), "label", "component")
+    final = known.join(whole.withColumnRenamed("label", "wl"), F.col("label") == F.col("wl")).select(F.col("node").alias("fn"), "label", "component", "links")
     named = rows.join(final, F.col("node") == F.col("fn"), "left")
-    return named.select("doc_id", "key", "n_shingles", "node", "label", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("component")).alias("component_id"))
+    out = ["doc_id", "key", "n_shingles", "node", "label", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("component")).alias("component_id")]
+    return named.select(*out, *([] if near is None else [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")]))
 
 
 def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -750,27 +858,17 @@ def classes(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str
 
 
 def link_counts(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """classes() and n_links: the other rows that a row links to, rows with an equal set among them.
+    """classes() and n_links: the other rows that a row links to, rows with an equal set among them; 0 without shingles.
 
-    All members of each list meet, those of one component too, so the work is
-    that of all links: up to the square of a group's size where classes() costs
-    about the size.
+    Links are counted after components are known, block by block within each: the
+    square of a component's number of different sets, in operations on bits, where
+    classes() costs about the number.
     """
     docs = _keyed(docs, id_col, text_col)
+    rows, labels = _labels(docs, size, ratio)
     with scratch(docs.sparkSession) as keep:
-        rows, met = _meetings(docs, size, ratio)
-        keep(rows)
-        again = materialise(_apart(_wide(met), docs.sparkSession.createDataFrame([], "node long, label long")), "join-apart")
-        few = met.where("kind = 0").select("a", "b", "part")
-        pairs = few.unionByName(_met(again, _marks(rows, again.select("node").distinct()), ratio, False)).groupBy("a", "b").agg(F.min("part").alias("part"))
-        links = keep(_linked(docs, rows, materialise(pairs, "join-pairs"), size, ratio))
-        labels = keep(materialise(components(links), "join-labels"))
-    copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(copies, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("near"))
-    own = copies.join(near, F.col("node") == F.col("a"), "left").select(F.col("node").alias("cn"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
-    out = _named(rows, labels).join(own, F.col("node") == F.col("cn"), "left")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+        near = keep(_within(docs, rows, labels, size, ratio))
+    return _named(rows, labels, near).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, size: int = 5, ratio: Ratio = Ratio(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
