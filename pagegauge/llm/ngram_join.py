@@ -457,11 +457,6 @@ def _held(bits):
     return run
 
 
-def _known(rows: DataFrame, nodes: DataFrame, *what: Column) -> DataFrame:
-    """What is asked of the given distinct nodes' rows, by node."""
-    return rows.where("node is not null").join(nodes.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted")).groupBy("node").agg(*what)
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
@@ -530,7 +525,9 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, ratio: Ratio) -> DataFrame:
     """The pairs (a, b, part) that link, from whole texts: a's goes once to each of its parts, b's once to each pair."""
-    keys = materialise(_known(rows, _ends(pairs), F.min("key").alias("nk")), "join-keys")
+    # combined before the exchange: a node of many copies is no task's
+    least = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("nk"))
+    keys = materialise(least.join(_ends(pairs).withColumnRenamed("node", "wanted"), F.col("node") == F.col("wanted")).select("node", "nk"), "join-keys")
     whole = _asked(pairs, keys, "nk").join(_texts(docs, keys), F.col("nk") == F.col("key")).select("a", "part", "b", "text")
     return materialise(_dealt(whole).mapInArrow(_verify(size, ratio), "a long, b long"), "join-links")
 
@@ -617,13 +614,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 SALTS = 32
 
 
-def _told(rows: DataFrame, key: str, groups: DataFrame, group: str) -> DataFrame:
-    """rows with what is known of their key in ``groups``, written rows of distinct keys: no key, however frequent, is one task's."""
+def _told(rows: DataFrame, key: str, groups: DataFrame, group: str, by: str = "node", how: str = "inner") -> DataFrame:
+    """rows with what is known of their key in ``groups``, written rows of distinct keys: no key, however frequent, is one
+    task's, as a key's rows are told apart ``by`` another column."""
     if groups.count() <= 1_000_000:
-        return rows.join(F.broadcast(groups), F.col(key) == F.col(group))
+        return rows.join(F.broadcast(groups), F.col(key) == F.col(group), how)
     groups = groups.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return salted.join(groups, (F.col(key) == F.col(group)) & (F.col("salt") == F.col("t"))).drop("salt", "t")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(groups, (F.col(key) == F.col(group)) & (F.col("salt") == F.col("t")), how).drop("salt", "t")
 
 
 def _apart(wide: DataFrame, labels: DataFrame) -> DataFrame:
@@ -693,8 +691,10 @@ def _meetings(docs: DataFrame, size: int, ratio: Ratio) -> tuple[DataFrame, ...]
 
 
 def _marks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, mark) of the given distinct nodes."""
-    return _known(rows.where("mark is not null"), nodes, F.first("n_shingles").alias("n"), F.first("mark").alias("mark"))
+    """(node, n, mark) of the given distinct nodes, of which each task has marked one row at most."""
+    wanted = nodes.select(F.col("node").alias("wanted"))
+    marked = rows.where("mark is not null").join(wanted, F.col("node") == F.col("wanted"))
+    return marked.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("mark").alias("mark"))
 
 
 def _wide(met: DataFrame) -> DataFrame:
@@ -840,7 +840,7 @@ def _named(rows: DataFrame, labels: DataFrame, near: DataFrame | None = None) ->
     known = known.where("linked or copies > 1")
     whole = known.groupBy("label").agg(F.min("least").alias("component"))
     final = known.join(whole.withColumnRenamed("label", "wl"), F.col("label") == F.col("wl")).select(F.col("node").alias("fn"), "label", "component", "links")
-    named = rows.join(final, F.col("node") == F.col("fn"), "left")
+    named = _told(rows, "node", materialise(final, "join-named"), "fn", "doc_id", "left")
     out = ["doc_id", "key", "n_shingles", "node", "label", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("component")).alias("component_id")]
     return named.select(*out, *([] if near is None else [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")]))
 
