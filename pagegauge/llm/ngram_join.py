@@ -576,7 +576,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Edges are contracted within tasks, then alternating stars: every node's
     larger neighbours, then its smaller ones, are hung on its least neighbour,
     until all edges are stars. No neighbourhood is gathered: least neighbours
-    are aggregates, and the rows join them.
+    are aggregates, and the rows are told them without being dealt by node.
     """
 
     def hung(e: DataFrame, larger: bool) -> DataFrame:
@@ -584,7 +584,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if larger:
             both = both.unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("lx"), F.least("m", "x").alias("m"))
-        rows = both.join(least, F.col("x") == F.col("lx"))
+        rows = _told(both, "x", materialise(least, "join-least"), "lx", "y")
         if larger:
             out = rows.where(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v"))
         else:
@@ -603,21 +603,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = materialise(edges.mapInArrow(_contract, "u long, v long"), "join-edges")
         if stars(edges):
             break
-        edges = hung(hung(edges, True), False)
+        edges = hung(materialise(hung(edges, True), "join-hung"), False)
     else:
         raise RuntimeError("components did not settle")
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-#: Parts that a list's rows are dealt to where too many lists are apart to broadcast them.
-SALTS = 32
+#: Keys at most whose rows are told of them by broadcast; beyond, each key's rows are dealt to so many parts.
+TOLD, SALTS = 1_000_000, 32
 
 
 def _told(rows: DataFrame, key: str, groups: DataFrame, group: str, by: str = "node", how: str = "inner") -> DataFrame:
     """rows with what is known of their key in ``groups``, written rows of distinct keys: no key, however frequent, is one
     task's, as a key's rows are told apart ``by`` another column."""
-    if groups.count() <= 1_000_000:
+    if groups.count() <= TOLD:
         return rows.join(F.broadcast(groups), F.col(key) == F.col(group), how)
     groups = groups.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))

@@ -35,6 +35,16 @@ def test_links_within_components_are_counted(spark, monkeypatch, block, shingles
     assert max(n for _, n in want) >= 12
 
 
+def test_rows_told_by_salted_joins(spark, monkeypatch):
+    """With more keys than are broadcast, rows are told of them in parts; nothing else changes."""
+    monkeypatch.setattr(ngram_join, "TOLD", 0)
+    monkeypatch.setattr(ngram_join, "SALTS", 3)
+    data = grouped() + awkward()
+    got = ngram_join.link_counts(frame(spark, data)).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == counts(data)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute(data)
+
+
 def test_awkward_and_empty_tables(spark):
     got = ngram_join.link_counts(frame(spark)).collect()
     assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == counts(awkward())
