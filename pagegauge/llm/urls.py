@@ -3,8 +3,8 @@
 Two smoothed variable-order Markov models, of accepted and of rejected
 addresses, score an address by the difference of its log-likelihoods per
 character; a threshold calibrated on held-out hosts decides. The models are
-tables: every distinct address is counted, and nothing that grows with the
-corpus is gathered on the driver.
+tables: every distinct address is counted and every one is scored for the
+threshold, and nothing that grows with the corpus is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from .shared import materialise, sampled
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Host parts that mark an address as rejected for training. Fixed values.
 REJECTED_PARTS = ("ads", "adult", "bet", "bets", "casino", "cheap", "free", "gamble", "loan", "loans", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "win", "xxx")
-#: Distinct addresses of each kind that the threshold is fitted to at most. The models count all.
-SAMPLE_URLS = 4_000
 ORDER, ALPHABET, FOLDS = 5, 256, 5
 #: Hosts of a kind under which each is held out alone.
 FEW = 20
 #: A gram with more than this share of all is heavy and is dealt to so many tasks.
 HEAVY_SHARE, SALTS = 1 / 256, 32
+#: A held-out text's tag: the number of its kind and fold from this bit on, its own number below.
+KIND_BIT = 57
 
 
 def host(url: Column) -> Column:
@@ -132,11 +132,51 @@ def cut(good: list[float], bad: list[float]) -> float:
     good, bad = sorted(good), sorted(bad)
     every = sorted({*good, *bad})
     cuts = [every[0] - 1, *((x + y) / 2 for x, y in zip(every, every[1:])), every[-1] + 1]
-    wrong = [(len(good) - bisect_right(good, c)) / len(good) + bisect_right(bad, c) / len(bad) for c in cuts]
-    best = [k for k, w in enumerate(wrong) if w <= min(wrong) + 1e-12]
+    # shares times both numbers: whole numbers, so that equal sums are told as equal
+    wrong = [(len(good) - bisect_right(good, c)) * len(bad) + bisect_right(bad, c) * len(good) for c in cuts]
+    least = min(wrong)
+    best = [k for k, w in enumerate(wrong) if w == least]
     return cuts[best[len(best) // 2]]
 
 
+def cut_table(tallies: DataFrame) -> float:
+    """cut() over a table (ratio, good, bad) of distinct ratios and how many of each kind have them, both kinds there.
+
+    Rows are dealt by ranges of ratios and summed up within a range; of each
+    range only its sums and its least come to the driver, so the cut is that
+    of all rows. How the ranges lie changes the work, not the cut.
+    """
+    rows = materialise(tallies.repartitionByRange("ratio").withColumn("part", F.spark_partition_id()), "url-cuts")
+    parts = rows.groupBy("part").agg(F.min("ratio").alias("first"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("first").collect()
+    goods, bads = sum(r["good"] for r in parts), sum(r["bad"] for r in parts)
+    # a cut above a ratio judges good ones up to it right and bad ones wrong
+    inside = Window.partitionBy("part").orderBy("ratio")
+    change = F.sum(F.col("bad") * goods - F.col("good") * bads).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    summed = rows.select("part", "ratio", F.lead("ratio").over(inside).alias("next"), change.alias("change"))
+    # both by part: the same dealing serves
+    lows = {r["part"]: r for r in summed.groupBy("part", "change").agg(F.count("*").alias("n")).groupBy("part").agg(F.min(F.struct("change", "n")).alias("low")).collect()}
+
+    # (wrong, how many such cuts, part, its change): the cut below all first, then each part's best
+    wrong, told = goods * bads, [(goods * bads, 1, None, 0)]
+    for r in parts:
+        change_, n = lows[r["part"]]["low"]
+        told.append((wrong + change_, n, r["part"], change_))
+        wrong += r["bad"] * goods - r["good"] * bads
+    least = min(t[0] for t in told)
+    best = [t for t in told if t[0] == least]
+    k = sum(n for _, n, _, _ in best) // 2
+    for _, n, part, change_ in best:
+        if k < n:
+            break
+        k -= n
+    if part is None:
+        return parts[0]["first"] - 1
+    found = summed.where((F.col("part") == part) & (F.col("change") == change_)).withColumn("k", F.row_number().over(inside)).where(F.col("k") == k + 1).first()
+    at = next(i for i, r in enumerate(parts) if r["part"] == part)
+    after = found["next"] if found["next"] is not None else parts[at + 1]["first"] if at + 1 < len(parts) else None
+    return found["ratio"] + 1 if after is None else (found["ratio"] + after) / 2
+
+
 @dataclass(frozen=True)
 class Tables:
     """Both models as a table, and the ratio above which an address is rejected.
@@ -211,15 +251,15 @@ def ratios(found: DataFrame, logs: DataFrame, value: Column, heavy: tuple[str, .
     return met.groupBy(*keys).agg((F.sum(F.col("n") * value) / F.sum("n")).alias("ratio"))
 
 
-def fit(pages: DataFrame, sample_urls: int = SAMPLE_URLS, parts=REJECTED_PARTS, url_col: str = "url", order: int = ORDER) -> Tables:
+def fit(pages: DataFrame, sample_urls: int | None = None, parts=REJECTED_PARTS, url_col: str = "url", order: int = ORDER) -> Tables:
     """Models of all distinct addresses: rejected if a part of the host between dots and dashes is among ``parts``.
 
     Addresses without a host have no kind and are not counted, but are judged.
 
-    The threshold alone is fitted to a sample, at most ``sample_urls``
-    addresses of each kind, chosen by hash, each scored by models that count no
-    address of its fold of hosts; with fewer than FEW hosts of a kind, none of
-    its host.
+    The threshold is fitted to all of them too, each scored by models that
+    count no address of its fold of hosts; with fewer than FEW hosts of a kind,
+    none of its host. A caller that gives ``sample_urls`` has it fitted to at
+    most so many addresses of each kind, chosen by hash.
     """
     url = F.col(url_col)
     texts = pages.select(host(url).alias("host"), address(url).alias("address")).where("host <> ''").distinct()
@@ -248,15 +288,21 @@ def fit(pages: DataFrame, sample_urls: int = SAMPLE_URLS, parts=REJECTED_PARTS,
     whole = {False: F.col("accepted"), True: F.col("rejected")}
     variants = {"p_0": whole[False], "p_1": whole[True]} | {f"p_{int(bad)}_{f}": whole[bad] - F.col(f"held_{int(bad)}_{f}") for bad, f in held}
     logs = probabilities(counts, variants, order).select("gram", *[F.log(v).alias(v) for v in variants])
-    some = [sampled(texts.where(F.col("bad") == bad), sample_urls, "address") for bad in (False, True)]
-    sample = some[0].unionByName(some[1]).select(F.xxhash64("address").alias("tag"), "text", "bad", "fold")
-    sample = materialise(sample, "url-sample")
-    found = grams(sample, order).join(F.broadcast(sample.select(F.col("tag").alias("st"), "bad", "fold")), F.col("tag") == F.col("st"))
+    chosen = texts
+    if sample_urls is not None:
+        some = [sampled(texts.where(F.col("bad") == bad), sample_urls, "address") for bad in (False, True)]
+        chosen = some[0].unionByName(some[1])
+    # alike addresses of a fold have one ratio: it is computed once and counts as often as they are
+    chosen = chosen.groupBy("text", "bad", "fold").agg(F.count("*").alias("weight"))
+    chosen = materialise(chosen.withColumn("tag", F.shiftleft((F.col("bad").cast("int") * width + F.col("fold")).cast("long"), KIND_BIT) + F.monotonically_increasing_id()), "url-held")
+    kind = F.shiftright("tag", KIND_BIT)
+    found = grams(chosen, order).withColumn("bad", kind >= width).withColumn("fold", kind % width)
     own = {bad: F.col(f"p_{int(bad)}") for bad in (False, True)}
     for bad, f in held:
         own[bad] = F.when((F.col("bad") == bad) & (F.col("fold") == f), F.col(f"p_{int(bad)}_{f}")).otherwise(own[bad])
-    scored = ratios(found, logs, own[True] - own[False], heavy, ("tag", "bad")).collect()
-    threshold = cut([r["ratio"] for r in scored if not r["bad"]], [r["ratio"] for r in scored if r["bad"]])
+    scored = ratios(found, logs, own[True] - own[False], heavy).join(chosen.select(F.col("tag").alias("st"), "bad", "weight").hint("merge"), F.col("tag") == F.col("st"))
+    of_kind = lambda bad: F.sum(F.when(F.col("bad") == bad, F.col("weight")).otherwise(0))
+    threshold = cut_table(materialise(scored.groupBy("ratio").agg(of_kind(False).alias("good"), of_kind(True).alias("bad")), "url-ratios"))
     return Tables(counts.select("gram", "accepted", "rejected"), threshold, heavy, order)
 
 

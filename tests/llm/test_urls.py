@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -46,3 +47,40 @@ def test_few_hosts_are_held_out_one_by_one(spark):
     assert math.isclose(model.threshold, want, abs_tol=1e-9)
     assert math.isclose(urls.train(good, bad).threshold, want, abs_tol=1e-9)
     assert not math.isclose(want, urls.cut([rejected.score(h) - accepted.score(h) for h in good], [rejected.score(h) - accepted.score(h) for h in bad]), abs_tol=0.01)
+
+
+def test_threshold_counts_every_address(spark):
+    """More than 4000 addresses of a kind, all of which the threshold is fitted to: the plain models say where it lies."""
+    rng = random.Random(4)
+    some = lambda letters: "".join(rng.choices(letters, k=6))
+    good = sorted({f"{h}.org/{some('abcdefgh')}" for h in ("thing", "weather", "tion") for _ in range(2_000)})
+    bad = sorted({f"{h}.org/{some('cdefghij')}" for h in ("thing-win", "weather-bet", "tion-ads") for _ in range(700)})
+    model = urls.fit(pages(spark, [f"http://{u}" for u in good + bad]))
+
+    def held(kind, other, sign):
+        kind, out = [urls.plain(u) for u in kind], []
+        for h in {u.split("/")[0] for u in kind}:
+            rest = urls.Markov([u for u in kind if not u.startswith(h)])
+            out += [sign * (rest.score(u) - other.score(u)) for u in kind if u.startswith(h)]
+        return out
+
+    accepted, rejected = (urls.Markov([urls.plain(u) for u in kind]) for kind in (good, bad))
+    assert math.isclose(model.threshold, urls.cut(held(good, rejected, -1), held(bad, accepted, 1)), abs_tol=1e-9)
+
+
+def test_cut_of_a_table(spark):
+    """Over several ranges of ratios, with ties and flat stretches, the cut is the plain one."""
+    rng = random.Random(7)
+    cases = [([0.5], [0.5]), ([1.0], [2.0]), ([2.0], [1.0]), ([1.0, 1.0, 3.0], [2.0]), ([0.0, 4.0], [1.0, 2.0, 3.0, 5.0])]
+    cases += [([rng.choice(grid) for _ in range(n)], [rng.choice(grid) + shift for _ in range(m)]) for grid, n, m, shift in (([k / 8 for k in range(40)], 60, 25, 1.0), ([k / 8 for k in range(400)], 50, 50, 0.0), ([0.0, 1.0], 9, 9, 0.0))]
+    cases.append(([k / 4 for k in range(20)], [k / 4 + 1 / 8 for k in range(20)]))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    for apart in ("false", "true"):
+        spark.conf.set(setting, apart)
+        try:
+            for good, bad in cases:
+                rows = [(r, good.count(r), bad.count(r)) for r in {*good, *bad}]
+                got = urls.cut_table(spark.createDataFrame(rows, "ratio double, good long, bad long"))
+                assert got == urls.cut(good, bad), (good, bad)
+        finally:
+            spark.conf.unset(setting)
